@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from framelens.functions import SECOND_US, second_of
 from framelens.operators.chunks import KEYS, after_chunk, before_chunk
 
-STEPS = "trace_id bigint, chunk bigint, limits array<bigint>, exits array<bigint>"
-ENTRIES = "trace_id bigint, chunk bigint, entry bigint"
+# After the two key columns, whose types follow the packets.
+STEPS = "limits array<bigint>, exits array<bigint>"
+ENTRIES = "entry bigint"
 ANCHORS = (
-    "trace_id bigint, chunk bigint, entry bigint, last_epoch bigint, "
+    "entry bigint, last_epoch bigint, "
     "anchors array<struct<t_us:bigint,pkt_ord:bigint,epoch_us:bigint>>"
 )
 
@@ -75,15 +76,16 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
     chunk), final_epoch (epoch of the last packet of the trace).
     """
     times = packets.select(*KEYS, "t_us", "pkt_ord", "epoch_us")
+    keyed = f"trace_id {dict(packets.dtypes)['trace_id']}, chunk bigint, "
 
-    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         limits, exits = chunk_steps(np.unique(pdf["t_us"].to_numpy()), window_us)
         return pd.DataFrame(
             [[key[0], key[1], limits.tolist(), exits.tolist()]],
             columns=["trace_id", "chunk", "limits", "exits"],
         )
 
-    def entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
         entered, anchor = [], None
         for limits, exits in zip(pdf["limits"], pdf["exits"]):
@@ -100,7 +102,7 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
             }
         )
 
-    def anchors(key, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+    def anchors(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t_us", "pkt_ord"])
         before = entry["entry"].iloc[0]
         before = None if pd.isna(before) else int(before)
@@ -119,11 +121,11 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
 
     per_chunk = times.groupBy(*KEYS)
     entered = (
-        per_chunk.applyInPandas(steps, STEPS)
+        per_chunk.applyInPandas(steps, keyed + STEPS)
         .groupBy("trace_id")
-        .applyInPandas(entries, ENTRIES)
+        .applyInPandas(entries, keyed + ENTRIES)
     )
-    found = per_chunk.cogroup(entered.groupBy(*KEYS)).applyInPandas(anchors, ANCHORS)
+    found = per_chunk.cogroup(entered.groupBy(*KEYS)).applyInPandas(anchors, keyed + ANCHORS)
     first_here = F.get("anchors", F.lit(0))["epoch_us"]
     opened = F.sum(F.size("anchors")).over(before_chunk())
     return found.select(

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from framelens.plans import trace_queries  # noqa: F401
+from framelens.plans import error_queries, trace_queries  # noqa: F401
 
 
 def load() -> None:

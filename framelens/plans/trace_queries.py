@@ -299,7 +299,7 @@ def _vector_sql(value: str) -> str:
         "width from (select trace_id, vca, \"interval\", et, count(*) as n, "
         f"round(sum({value}), 6) as sum_all, "
         f"list_transform(list({value} order by t_us, pkt_ord)[1:3] || [0.0, 0.0, 0.0], "
-        f"x -> round(x::double, 6))[1:3] as first_3, {width} as width from win "
+        f"lambda x: round(x::double, 6))[1:3] as first_3, {width} as width from win "
         "group by 1, 2, 3, 4)"
     )
 
