@@ -1,4 +1,5 @@
 from framelens.functions.scalars import (
+    SAMPLING_BINS,
     SECOND_US,
     all_of,
     app_label,
@@ -13,6 +14,7 @@ from framelens.functions.scalars import (
 )
 
 __all__ = [
+    "SAMPLING_BINS",
     "SECOND_US",
     "all_of",
     "app_label",

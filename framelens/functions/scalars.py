@@ -69,11 +69,15 @@ def resolution_bin(height) -> Column:
     )
 
 
+SAMPLING_BINS = ["le_0_8", "le_1_2", "le_2", "gt_2"]
+
+
 def sampling_bin(seconds) -> Column:
+    """Seconds between label samples: up to 0.8, 1.2, 2, or more."""
     s = _col(seconds)
     return (
-        F.when(s <= 0.8, "<=0.8")
-        .when(s <= 1.2, "0.8-1.2")
-        .when(s <= 2, "1.2-2")
-        .when(s > 2, ">2")
+        F.when(s <= 0.8, "le_0_8")
+        .when(s <= 1.2, "le_1_2")
+        .when(s <= 2, "le_2")
+        .when(s > 2, "gt_2")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelens.functions import resolution_bin, sampling_bin
+from framelens.functions import SAMPLING_BINS, resolution_bin, sampling_bin
 from framelens.operators.chunks import with_previous
 from framelens.operators.ranks import ecdf, quantiles
 
@@ -262,13 +262,12 @@ def sampling_intervals(samples: DataFrame, order: str = "t_us") -> DataFrame:
 
 def sampling_shares(intervals: DataFrame) -> DataFrame:
     """Share of each interval bin per application, one column per bin."""
-    bins = ["<=0.8", "0.8-1.2", "1.2-2", ">2"]
     shares = class_shares(intervals, ["vca"], "gap_bin")
     return (
         shares.groupBy("vca")
-        .pivot("gap_bin", bins)
+        .pivot("gap_bin", SAMPLING_BINS)
         .agg(F.first("share"))
-        .na.fill(0.0, bins)
+        .na.fill(0.0, SAMPLING_BINS)
     )
 
 

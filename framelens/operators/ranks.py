@@ -5,6 +5,9 @@ of all rows in one task. Rows are first counted per distinct value. A hash of th
 about ``PIECES`` values over all groups as cutting points, which split each group into pieces in
 proportion to its size; ranks are taken inside a piece and shifted by the counts of the pieces
 before it. The cutting points only decide how the work is divided, never the result.
+
+The counted values are read several times, so they are checkpointed once: what produced them (often
+a whole estimation plan) runs a single time and lost executors cost no recomputation.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framelens.session import cut_lineage
+
 PIECES = 256
 
 
@@ -24,7 +29,7 @@ def value_ranks(
     """One row per group and distinct value: ``n`` rows with it, ``upto`` rows at or below it,
     ``total`` rows in the group. Null values do not count."""
     keys = list(keys)
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("n"))

@@ -711,8 +711,8 @@ gp as (
   select * from (select trace_id, vca, ts, (t_us - lag(t_us) over (partition by trace_id order by t_us))
     / 1e6 as gap from sm) where gap is not null),
 gb as (
-  select *, case when gap <= 0.8 then '<=0.8' when gap <= 1.2 then '0.8-1.2' when gap <= 2 then '1.2-2'
-    else '>2' end as gap_bin from gp)"""
+  select *, case when gap <= 0.8 then 'le_0_8' when gap <= 1.2 then 'le_1_2' when gap <= 2 then 'le_2'
+    else 'gt_2' end as gap_bin from gp)"""
 
 
 def samples(spark, sf_dir):
@@ -742,7 +742,7 @@ def sampling_intervals(spark, sf_dir):
         [p.PK, SAMPLES],
         "select vca, " + ", ".join(
             f"round(count(*) filter (gap_bin = '{b}') / count(*), 6) as \"{b}\""
-            for b in ("<=0.8", "0.8-1.2", "1.2-2", ">2")
+            for b in ("le_0_8", "le_1_2", "le_2", "gt_2")
         ) + " from gb group by 1",
     ),
 )

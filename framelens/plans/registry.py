@@ -11,11 +11,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# Added before rounding in both engines, which differ on exact ties (n.nnnnnn5).
+NUDGE = 1e-9
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, so both engines print the same value."""
     return df.select(
         *[
-            F.round(c, places).alias(c) if t == "double" else F.col(c)
+            F.round(F.col(c) + NUDGE, places).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -25,7 +29,7 @@ def query(name: str, sql: str | None = None):
     def register(build):
         QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir))
         if sql is not None:
-            SQL[name] = sql
+            SQL[name] = sql.replace(", 6)", f" + {NUDGE}, 6)")
         return build
 
     return register

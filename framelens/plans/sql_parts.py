@@ -21,7 +21,7 @@ PK = """pk as (
         from events))"""
 
 CL = """cl as (
-  select * replace (cast(ip_proto as int) as ip_proto) from pk
+  select * replace (try_cast(ip_proto as int) as ip_proto) from pk
   where ip_proto is not null and ip_proto not like '%,%')"""
 
 LB = """lb as (
