@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framelens.functions import second_after, second_of
+from framelens.functions import idiv, second_after, second_of
 from framelens.operators import clean
 from framelens.operators.chunks import KEYS, in_chunk, total_before, whole_trace, with_previous
 from framelens.operators.ranks import ecdf, quantiles
@@ -108,8 +108,15 @@ def sweep_assembly_errors(kept: DataFrame, depths: range) -> DataFrame:
     return mean_assembly_errors(errors, ("vca", "depth"))
 
 
+# A chunk of RTP time: 30 s of the 90 kHz clock.
+CHUNK_TICKS = 2_700_000
+
+
 def rtp_frame_sizes(packets: DataFrame) -> DataFrame:
-    """Per RTP timestamp: packets, smallest and largest packet, and their difference."""
+    """Per RTP timestamp: packets, smallest and largest packet, and their difference.
+
+    ``chunk`` cuts RTP time, the order these frames are compared in (arrival may differ).
+    """
     return (
         packets.where(F.col("rtp_ts").isNotNull())
         .groupBy("trace_id", "vca", "rtp_ts")
@@ -117,9 +124,9 @@ def rtp_frame_sizes(packets: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_pkts"),
             F.max("length").alias("max_size"),
             F.min("length").alias("min_size"),
-            F.max("chunk").alias("chunk"),
         )
         .withColumn("size_range", F.col("max_size") - F.col("min_size"))
+        .withColumn("chunk", idiv("rtp_ts", CHUNK_TICKS))
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelens.functions import first_payload_type
-from framelens.operators.chunks import KEYS
+from framelens.operators.chunks import KEYS, whole_trace
 from framelens.sources.settings import RTP_HEADER_BYTES, VIDEO_BYTES
 
 
@@ -62,13 +62,13 @@ def busiest_endpoint(population: DataFrame, endpoint: str = "ip_dst") -> DataFra
 
 
 def _first_per_trace(parts: DataFrame, value: str) -> DataFrame:
-    """The value with the lowest ``_rank`` of each trace (ties: smallest), for each chunk."""
-    best = F.min(F.struct("_rank", value)).over(Window.partitionBy("trace_id"))
-    return (
-        parts.select(*KEYS, best[value].alias("_best")).groupBy(*KEYS).agg(
-            F.first("_best").alias("_best")
-        )
-    )
+    """The value with the lowest ``_rank`` of each trace (ties: smallest), for each chunk.
+
+    Reduced to one row per chunk before the trace-wide step.
+    """
+    low = parts.groupBy(*KEYS).agg(F.min(F.struct("_rank", value)).alias("_low"))
+    best = F.min("_low").over(whole_trace())
+    return low.select(*KEYS, best[value].alias("_best"))
 
 
 def keep_busiest(

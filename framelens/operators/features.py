@@ -85,10 +85,21 @@ def iat_statistics() -> list[Column]:
     ]
 
 
-def first_values(value: str, width: Column) -> Column:
-    """The first ``width`` values of a window in trace order, padded with zeros."""
-    rows = F.sort_array(F.collect_list(F.struct(*ORDER, value)))[value].cast("array<double>")
-    return F.slice(F.concat(rows, F.array_repeat(F.lit(0.0), width)), F.lit(1), width)
+def first_values(windowed: DataFrame, value: str, name: str) -> DataFrame:
+    """The first values of a window in trace order, padded with zeros to the application's width.
+
+    Ranks are cut off before rows move (a group limit in the plan), so no more than the widest
+    vector is ever gathered.
+    """
+    order = Window.partitionBy(*WINDOW).orderBy(*ORDER)
+    first = windowed.select(
+        *WINDOW, F.col(value).cast("double").alias("_v"), F.row_number().over(order).alias("_rn")
+    ).where(F.col("_rn") <= max(VECTOR_WIDTH.values()))
+    width = by_app(VECTOR_WIDTH, 600)
+    held = F.sort_array(F.collect_list(F.struct("_rn", "_v")))["_v"]
+    return first.groupBy(*WINDOW).agg(held.alias(name)).withColumn(
+        name, F.slice(F.concat(name, F.array_repeat(F.lit(0.0), width)), F.lit(1), width)
+    )
 
 
 def window_features(
@@ -96,23 +107,26 @@ def window_features(
 ) -> DataFrame:
     """One row per window with the chosen groups: LSTATS, TSTATS, SIZE, IAT.
 
-    All groups come from one aggregation. ``compat`` also keeps the absolute second ``t_et``
-    among the features, next to the inter-arrival statistics.
+    The statistics come from one aggregation. Quartiles are exact and kept as counts per distinct
+    value, whose number is bounded by packet sizes and by microseconds. ``compat`` also keeps the
+    absolute second ``t_et`` among the features, next to the inter-arrival statistics.
     """
-    width = by_app(VECTOR_WIDTH, 600)
+    unknown = set(groups) - {"LSTATS", "TSTATS", "SIZE", "IAT"}
+    if unknown:
+        raise ValueError(f"unknown feature groups {sorted(unknown)}")
     columns: list[Column] = []
-    for group in groups:
-        if group == "LSTATS":
-            columns += size_statistics()
-        elif group == "TSTATS":
-            columns += iat_statistics()
-        elif group == "SIZE":
-            columns.append(first_values("length", F.first(width)).alias("sizes"))
-        elif group == "IAT":
-            columns.append(first_values("iat", F.first(width)).alias("iats"))
-        else:
-            raise ValueError(f"unknown feature group {group}")
-    out = windowed.groupBy(*WINDOW).agg(*columns)
+    if "LSTATS" in groups:
+        columns += size_statistics()
+    if "TSTATS" in groups:
+        columns += iat_statistics()
+    parts = [windowed.groupBy(*WINDOW).agg(*columns)] if columns else []
+    if "SIZE" in groups:
+        parts.append(first_values(windowed, "length", "sizes"))
+    if "IAT" in groups:
+        parts.append(first_values(windowed, "iat", "iats"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, WINDOW)
     if compat and "TSTATS" in groups:
         out = out.withColumn("t_et", F.col("et"))
     return out

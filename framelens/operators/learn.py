@@ -45,7 +45,7 @@ def forest(metric: str, names: list[str], trees: int = TREES, depth: int = DEPTH
         return Pipeline(
             stages=[
                 assemble,
-                StringIndexer(inputCol="_y", outputCol="_c", handleInvalid="keep"),
+                StringIndexer(inputCol="_y", outputCol="_c"),
                 RandomForestClassifier(
                     labelCol="_c",
                     predictionCol="_p",
