@@ -29,20 +29,24 @@ def fit_span(
     rows_per_chunk: int = ROWS_PER_CHUNK,
     max_span_us: int = MAX_CHUNK_US,
 ) -> int:
-    """Chunk width (microseconds) for this data: at most ``max_span_us``, and narrow enough that
-    the busiest second of any trace, spread evenly, puts no more than ``rows_per_chunk`` rows in
-    a chunk.
+    """Chunk width (microseconds) for this data: the widest tried, from ``max_span_us`` down, at
+    which the fullest chunk of any trace holds at most ``rows_per_chunk`` rows.
 
-    Runs one job over two pruned columns with map-side counts and brings one number back, much
-    as range partitioning samples its input before it shuffles.
+    Each try is one job over two pruned columns with map-side counts that brings one number back,
+    much as range partitioning samples its input before it shuffles. At call rates the first try
+    fits; denser traces shrink the width in proportion, bursts in a further step or two.
     """
-    busiest = (
-        packets.groupBy("trace_id", idiv("t_us", SECOND_US).alias("second"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("n"))
-        .first()["n"]
-    )
-    return max(1, min(max_span_us, rows_per_chunk * SECOND_US // max(1, busiest or 1)))
+    span = max_span_us
+    while True:
+        fullest = (
+            packets.groupBy("trace_id", idiv("t_us", span).alias("chunk"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .agg(F.max("n").alias("n"))
+            .first()["n"]
+        ) or 0
+        if fullest <= rows_per_chunk or span == 1:
+            return span
+        span = max(1, min(span // 2, span * rows_per_chunk // fullest))
 
 
 def assign_chunks(packets: DataFrame, span_us: int | None = None) -> DataFrame:
