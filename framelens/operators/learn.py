@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelens.functions import round_half_even
@@ -40,7 +43,15 @@ def model_input(rows: DataFrame, metric: str) -> tuple[DataFrame, list[str]]:
 def forest(metric: str, names: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 1):
     """A regressor on all features, or a classifier on the square root of them per split."""
     assemble = VectorAssembler(inputCols=names, outputCol="_x")
-    options = dict(featuresCol="_x", numTrees=trees, maxDepth=depth, seed=seed)
+    # Deep trees: keep each row's node instead of walking down again, and split more nodes a pass.
+    options = dict(
+        featuresCol="_x",
+        numTrees=trees,
+        maxDepth=depth,
+        seed=seed,
+        cacheNodeIds=True,
+        maxMemoryInMB=1024,
+    )
     if metric in CLASSES:
         return Pipeline(
             stages=[
@@ -72,6 +83,23 @@ def fit(train: DataFrame, metric: str, **options) -> PipelineModel | None:
     return forest(metric, names, **options).fit(rows)
 
 
+def fit_many(tasks: dict, metric: str, parallelism: int = 3, **options) -> dict:
+    """Fit one model per entry of ``tasks`` (key to training rows), several at a time.
+
+    The fits are independent Spark jobs; running a few together fills executors that a single
+    small forest leaves idle. Keys without training rows are left out.
+    """
+    spark = SparkSession.getActiveSession()
+
+    def one(item):
+        key, train = item
+        return key, fit(train, metric, **options)
+
+    with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
+        done = pool.map(inheritable_thread_target(spark)(one), list(tasks.items()))
+    return {key: model for key, model in done if model is not None}
+
+
 def predict(model: PipelineModel, test: DataFrame, metric: str, method: str) -> DataFrame:
     """Prediction rows for all test traces at once; frame counts rounded half to even."""
     rows, _ = model_input(test, metric)

@@ -15,7 +15,7 @@ Packets are then placed by comparing their time with the few anchors of their ch
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,19 @@ ANCHORS = (
 )
 
 
+INTS = pa.list_(pa.int64())
+
+
+def _row(rows: pa.Table, **columns: pa.Array) -> pa.Table:
+    """One output row with the keys of its group."""
+    head = rows.select(KEYS).slice(0, 1)
+    return pa.table({**{k: head[k] for k in KEYS}, **columns})
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.asarray(v.values) for part in column.chunks for v in part]
+
+
 def _follow(times: np.ndarray, window_us: int) -> np.ndarray:
     """Index of the first time more than one window later, or len(times)."""
     return np.searchsorted(times, times + window_us, side="right")
@@ -78,54 +91,45 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
     times = packets.select(*KEYS, "t_us", "pkt_ord", "epoch_us")
     keyed = f"trace_id {dict(packets.dtypes)['trace_id']}, chunk bigint, "
 
-    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        limits, exits = chunk_steps(np.unique(pdf["t_us"].to_numpy()), window_us)
-        return pd.DataFrame(
-            [[key[0], key[1], limits.tolist(), exits.tolist()]],
-            columns=["trace_id", "chunk", "limits", "exits"],
-        )
+    def steps(rows: pa.Table) -> pa.Table:
+        limits, exits = chunk_steps(np.unique(rows["t_us"].to_numpy()), window_us)
+        return _row(rows, limits=pa.array([limits], INTS), exits=pa.array([exits], INTS))
 
-    def entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
+    def entries(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
         entered, anchor = [], None
-        for limits, exits in zip(pdf["limits"], pdf["exits"]):
+        limits, exits = _lists(rows["limits"]), _lists(rows["exits"])
+        for limit, exit_ in zip(limits, exits):
             entered.append(anchor)
             reach = -1 if anchor is None else anchor + window_us
-            at = int(np.searchsorted(limits, reach, side="right"))
-            if at < len(limits):
-                anchor = int(exits[at])
-        return pd.DataFrame(
-            {
-                "trace_id": pdf["trace_id"],
-                "chunk": pdf["chunk"],
-                "entry": pd.array(entered, dtype="Int64"),
-            }
+            at = int(np.searchsorted(limit, reach, side="right"))
+            if at < len(limit):
+                anchor = int(exit_[at])
+        return rows.select(KEYS).append_column("entry", pa.array(entered, pa.int64()))
+
+    def anchors(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        t, n, e = (rows[c].to_numpy() for c in ("t_us", "pkt_ord", "epoch_us"))
+        order = np.lexsort((n, t))
+        t, n, e = t[order], n[order], e[order]
+        before = entry["entry"][0].as_py()
+        at = chunk_anchors(t, before, window_us)
+        opened = pa.StructArray.from_arrays(
+            [pa.array(v[at]) for v in (t, n, e)], names=["t_us", "pkt_ord", "epoch_us"]
         )
-
-    def anchors(key: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t_us", "pkt_ord"])
-        before = entry["entry"].iloc[0]
-        before = None if pd.isna(before) else int(before)
-        opened = pdf.iloc[chunk_anchors(pdf["t_us"].to_numpy(), before, window_us)]
-        row = [
-            key[0],
-            key[1],
-            before,
-            int(pdf["epoch_us"].iloc[-1]),
-            opened[["t_us", "pkt_ord", "epoch_us"]].to_dict("records"),
-        ]
-        out = pd.DataFrame(
-            [row], columns=["trace_id", "chunk", "entry", "last_epoch", "anchors"]
+        return _row(
+            rows,
+            entry=pa.array([before], pa.int64()),
+            last_epoch=pa.array([e[-1]], pa.int64()),
+            anchors=pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), opened),
         )
-        return out.astype({"entry": "Int64"})
 
     per_chunk = times.groupBy(*KEYS)
     entered = (
-        per_chunk.applyInPandas(steps, keyed + STEPS)
+        per_chunk.applyInArrow(steps, keyed + STEPS)
         .groupBy("trace_id")
-        .applyInPandas(entries, keyed + ENTRIES)
+        .applyInArrow(entries, keyed + ENTRIES)
     )
-    found = per_chunk.cogroup(entered.groupBy(*KEYS)).applyInPandas(anchors, keyed + ANCHORS)
+    found = per_chunk.cogroup(entered.groupBy(*KEYS)).applyInArrow(anchors, keyed + ANCHORS)
     first_here = F.get("anchors", F.lit(0))["epoch_us"]
     opened = F.sum(F.size("anchors")).over(before_chunk())
     return found.select(

@@ -96,21 +96,23 @@ class Experiment:
         rows = self.spark.read.parquet(f"{self.out}/features/{method}")
         rows = rows.join(folds.drop("vca"), "trace_id")
         apps = [r["vca"] for r in folds.select("vca").distinct().collect()]
-        for metric, fold, vca in product(self.metrics, range(1, self.folds + 1), apps):
-            of_app = rows.where(F.col("vca") == vca)
-            train = of_app.where(F.col("fold") != fold)
-            test = of_app.where(F.col("fold") == fold)
+        for metric, fold in product(self.metrics, range(1, self.folds + 1)):
+            of_app = {vca: rows.where(F.col("vca") == vca) for vca in apps}
             # A forest passes over its input once per level.
-            train = train.persist()
-            model = learn.fit(train, metric, **self.forest)
-            if model is not None:
+            train = {
+                vca: r.where(F.col("fold") != fold).persist() for vca, r in of_app.items()
+            }
+            models = learn.fit_many(train, metric, **self.forest)
+            for vca, model in models.items():
                 key = f"{metric}/{method}/{fold}/{vca}"
                 model.write().overwrite().save(f"{self.out}/models/{key}")
                 scores = learn.importances(model, rows, metric, method, fold, vca)
                 scores.write.mode("append").parquet(f"{self.out}/importances")
+                test = of_app[vca].where(F.col("fold") == fold)
                 found = learn.predict(model, test, metric, method)
                 self._store(found.withColumn("fold", F.lit(fold)))
-            train.unpersist()
+            for r in train.values():
+                r.unpersist()
 
     def _store(self, predictions: DataFrame) -> None:
         tables.write_predictions(predictions, f"{self.out}/predictions")

@@ -30,13 +30,13 @@ def labelled(spark, sf_dir, metric: str, method: str = "ip-udp-ml"):
 def _fold_1(spark, sf_dir, metric: str, method: str):
     """Predictions of fold 1 per application (three fits), and the models' importances."""
     rows = labelled(spark, sf_dir, metric, method)
-    found, scores = [], []
-    for vca in ("meet", "teams", "webex"):
-        mine = rows.where(F.col("vca") == vca)
-        model = learn.fit(mine.where(F.col("fold") != 1), metric)
-        if model is not None:
-            found.append(learn.predict(model, mine.where(F.col("fold") == 1), metric, method))
-            scores.append(learn.importances(model, rows, metric, method, 1, vca))
+    apps = {v: rows.where(F.col("vca") == v) for v in ("meet", "teams", "webex")}
+    models = learn.fit_many({v: r.where(F.col("fold") != 1) for v, r in apps.items()}, metric)
+    found = [
+        learn.predict(m, apps[v].where(F.col("fold") == 1), metric, method)
+        for v, m in models.items()
+    ]
+    scores = [learn.importances(m, rows, metric, method, 1, v) for v, m in models.items()]
     return errors.all_results(found), errors.all_results(scores)
 
 
