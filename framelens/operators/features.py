@@ -10,7 +10,7 @@ from framelens.functions import SECOND_US
 from framelens.operators import clean
 from framelens.operators.chunks import KEYS, ORDER, in_chunk, total_before, whole_trace, with_previous
 from framelens.operators.heuristics import received_rtp
-from framelens.operators.windows import assign_windows
+from framelens.operators.windows import anchor_table, assign_windows
 from framelens.sources.settings import VECTOR_WIDTH, by_app
 
 WINDOW = ["trace_id", "vca", "interval", "et"]
@@ -65,7 +65,7 @@ def model_packets(packets: DataFrame) -> DataFrame:
 
 def windowed_packets(kept: DataFrame, window_us: int = SECOND_US) -> DataFrame:
     """Packets with inter-arrival time and prediction window."""
-    return assign_windows(with_iat(kept), window_us)
+    return assign_windows(with_iat(kept), window_us, table=anchor_table(kept, window_us))
 
 
 def size_statistics() -> list[Column]:
@@ -218,7 +218,9 @@ def rtp_features(
         .withColumn("pkt_idx", F.col("idx0") + F.row_number().over(in_chunk()) - 1)
         .drop("idx0")
     )
-    placed = assign_windows(based, window_us, closed="right")
+    placed = assign_windows(
+        based, window_us, closed="right", table=anchor_table(kept, window_us)
+    )
     video, rtx = F.col("role") == "video", F.col("role") == "rtx"
     stamps = placed.groupBy(*WINDOW, "rtp_ts", "rtp0", "t0").agg(
         F.max(video.cast("int")).alias("vid"),

@@ -145,16 +145,21 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
 
 
 def assign_windows(
-    packets: DataFrame, window_us: int = SECOND_US, closed: str = "left"
+    packets: DataFrame,
+    window_us: int = SECOND_US,
+    closed: str = "left",
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``interval`` (1-based), ``interval_start`` (anchor time) and ``et``.
 
     ``closed='left'``: the packet that opens a window belongs to it. ``closed='right'``: that
     packet still counts in the window it closes (header features); the first window keeps its
-    opener. ``et`` is the epoch second of the packet that opens the next window, or of the last
+    opener. ``table`` is the anchor table of the same packets, if it is at hand: derive it from
+    them before other columns are joined on, so that work is not repeated for it. ``et`` is the epoch second of the packet that opens the next window, or of the last
     packet of the trace.
     """
-    table = anchor_table(packets, window_us)
+    if table is None:
+        table = anchor_table(packets, window_us)
     placed = packets.join(table, KEYS).withColumn(
         "_pos", F.size(F.filter("anchors", lambda a: a["t_us"] <= F.col("t_us")))
     )
