@@ -29,6 +29,7 @@ def query(name: str, sql: str | None = None):
     def register(build):
         QUERIES[name] = lambda spark, sf_dir: rounded(build(spark, sf_dir))
         if sql is not None:
+            # Roundings are written ", 6)"; nothing else in the twins is.
             SQL[name] = sql.replace(", 6)", f" + {NUDGE}, 6)")
         return build
 

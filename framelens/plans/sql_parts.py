@@ -77,7 +77,7 @@ def lookback(depth: str, deepest: int, source: str = "kept", name: str = "asg",
              include_first: bool = False) -> str:
     """Frame numbers by look-back, as lag + running sum."""
     lags = ", ".join(
-        f"lag(length, {k}) over w as l{k}" for k in range(1, deepest + 2)
+        f"lag(length,{k}) over w as l{k}" for k in range(1, deepest + 2)
     )
     tests = " or ".join(
         f"({k} <= depth and abs(l{k} - length) <= 2"
