@@ -56,6 +56,30 @@ def test_scans_are_pruned_and_python_stays_out_of_heuristics(spark):
     assert "Python" not in text and "InPandas" not in text
 
 
+def test_filters_reach_stored_packets(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from framelens.operators.heuristics import ip_udp_heuristic
+    from framelens.sources import packets as store
+    from framelens.sources import sample_view as view
+
+    pk = view.packets(spark, SF, 30_000_000).withColumn("dataset", F.lit("d"))
+    store.write_packets(pk, str(tmp_path / "pk"))
+    text = plan(ip_udp_heuristic(spark.read.parquet(str(tmp_path / "pk")).where("vca = 'meet'")))
+    assert "GreaterThan(length,306)" in text
+    assert "PartitionFilters: [isnotnull(vca" in text
+    assert "rtp_ts" not in text
+
+
+def test_vectors_are_limited_before_the_shuffle(spark):
+    from framelens.operators import features
+    from framelens.sources import sample_view as view
+
+    kept = features.model_packets(view.packets(spark, SF, 30_000_000))
+    text = plan(features.window_features(features.windowed_packets(kept), ("SIZE",)))
+    assert "WindowGroupLimit" in text
+
+
 def test_span_shrinks_with_density(spark):
     from framelens.operators.chunks import assign_chunks, fit_span
 
