@@ -22,37 +22,89 @@ KEYS = ["trace_id", "chunk"]
 ORDER = ["t_us", "pkt_ord"]
 ROWS_PER_CHUNK = 200_000
 MAX_CHUNK_US = 30 * SECOND_US
+MAX_DENSE_TRACES = 10_000
 
 
-def fit_span(
+def _fullest(chunked: DataFrame) -> DataFrame:
+    """Rows in the fullest chunk of each trace: pruned columns, map-side counts."""
+    return (
+        chunked.groupBy(*KEYS)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("trace_id")
+        .agg(F.max("n").alias("n"))
+    )
+
+
+def _narrower(span: int, fullest: int, rows_per_chunk: int) -> int:
+    return max(1, min(span // 2, span * rows_per_chunk // fullest))
+
+
+def fit_spans(
     packets: DataFrame,
     rows_per_chunk: int = ROWS_PER_CHUNK,
     max_span_us: int = MAX_CHUNK_US,
-) -> int:
-    """Chunk width (microseconds) for this data: the widest tried, from ``max_span_us`` down, at
-    which the fullest chunk of any trace holds at most ``rows_per_chunk`` rows.
-
-    Each try is one job over two pruned columns with map-side counts that brings one number back,
-    much as range partitioning samples its input before it shuffles. At call rates the first try
-    fits; denser traces shrink the width in proportion, bursts in a further step or two.
+    max_dense: int = MAX_DENSE_TRACES,
+) -> tuple[int, dict]:
+    """Chunk widths for this data: the width of ordinary traces, and those of dense traces.
+
+    A width is right when no chunk of the trace holds more than ``rows_per_chunk`` rows. One job
+    counts; at call rates every trace fits ``max_span_us`` and that is all. The few traces that do
+    not (each has more than ``rows_per_chunk`` rows) are narrowed on their own, so they cost the
+    others nothing. Should there be over ``max_dense`` of them, all traces share one narrower
+    width instead and nothing about single traces comes to the driver.
     """
-    span = max_span_us
+    times = packets.select("trace_id", "t_us")
+    first = _fullest(times.withColumn("chunk", idiv("t_us", max_span_us)))
+    dense = first.where(F.col("n") > rows_per_chunk).limit(max_dense + 1).collect()
+    if len(dense) > max_dense:
+        return _fit_common(times, rows_per_chunk, max_span_us), {}
+    spans, todo = {}, {r["trace_id"]: (max_span_us, r["n"]) for r in dense}
+    while todo:
+        spans.update(
+            {k: _narrower(span, n, rows_per_chunk) for k, (span, n) in todo.items()}
+        )
+        tried = {k: spans[k] for k in todo if spans[k] > 1}
+        if not tried:
+            break
+        again = _fullest(_with_chunk(times, max_span_us, tried, how="inner"))
+        todo = {
+            r["trace_id"]: (spans[r["trace_id"]], r["n"])
+            for r in again.where(F.col("n") > rows_per_chunk).collect()
+        }
+    return max_span_us, spans
+
+
+def _fit_common(times: DataFrame, rows_per_chunk: int, span: int) -> int:
     while True:
-        fullest = (
-            packets.groupBy("trace_id", idiv("t_us", span).alias("chunk"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .agg(F.max("n").alias("n"))
-            .first()["n"]
-        ) or 0
+        chunked = times.withColumn("chunk", idiv("t_us", span))
+        fullest = _fullest(chunked).agg(F.max("n").alias("n")).first()["n"]
         if fullest <= rows_per_chunk or span == 1:
             return span
-        span = max(1, min(span // 2, span * rows_per_chunk // fullest))
+        span = _narrower(span, fullest, rows_per_chunk)
+
 
+def _with_chunk(rows: DataFrame, span: int, dense: dict, how: str = "left") -> DataFrame:
+    """``chunk`` by the common width, or by the own width of a dense trace.
 
-def assign_chunks(packets: DataFrame, span_us: int | None = None) -> DataFrame:
-    """Add ``chunk``, the trace time cut into equal spans; without a width, fit one."""
-    span = fit_span(packets) if span_us is None else span_us
-    return packets.withColumn("chunk", idiv("t_us", span))
+    ``dense`` has at most MAX_DENSE_TRACES entries, which bounds the broadcast.
+    """
+    if not dense:
+        return rows.withColumn("chunk", idiv("t_us", span))
+    own = rows.sparkSession.createDataFrame(
+        list(dense.items()), f"trace_id {dict(rows.dtypes)['trace_id']}, _span bigint"
+    )
+    joined = rows.join(F.broadcast(own), "trace_id", how)
+    width = F.coalesce("_span", F.lit(span))
+    return joined.select(*rows.columns, idiv("t_us", width).alias("chunk"))
+
+
+def assign_chunks(
+    packets: DataFrame, span_us: int | None = None, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
+    """Add ``chunk``, the time of each trace cut into equal spans; without a width, fit them."""
+    if span_us is not None:
+        return _with_chunk(packets, span_us, {})
+    return _with_chunk(packets, *fit_spans(packets, rows_per_chunk))
 
 
 def in_chunk(order: Sequence[str] = ORDER):

@@ -80,18 +80,35 @@ def test_vectors_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_span_shrinks_with_density(spark):
-    from framelens.operators.chunks import assign_chunks, fit_span
+def test_widths_shrink_with_density(spark):
+    from framelens.operators import chunks
 
-    # A third of all rows in one dense trace.
-    dense = spark.range(60_000).selectExpr("1L as trace_id", "id * 10 as t_us", "id as pkt_ord")
+    # A third of all rows in one dense trace, half of them in a burst.
+    calm = spark.range(30_000).selectExpr("1L as trace_id", "id * 20 as t_us", "id as pkt_ord")
+    burst = spark.range(30_000).selectExpr("1L as trace_id", "600000 + id as t_us", "id as pkt_ord")
     thin = spark.range(120_000).selectExpr(
         "2 + id % 400 as trace_id", "id * 1000 as t_us", "id as pkt_ord"
     )
-    rows = dense.unionByName(thin)
-    span = fit_span(rows, rows_per_chunk=2_000)
-    fullest = (
-        assign_chunks(rows, span).groupBy("trace_id", "chunk").count().agg({"count": "max"}).first()[0]
+    rows = calm.unionByName(burst).unionByName(thin)
+    span, dense = chunks.fit_spans(rows, rows_per_chunk=2_000)
+    assert span == chunks.MAX_CHUNK_US and set(dense) == {1}
+    sizes = chunks.assign_chunks(rows, rows_per_chunk=2_000).groupBy("trace_id", "chunk").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 2_000
+    assert sizes.where("trace_id = 2").count() == 4, "ordinary traces keep wide chunks"
+    # Too many dense traces to name: one width for all.
+    span, dense = chunks.fit_spans(rows, rows_per_chunk=2_000, max_dense=0)
+    assert span < 2_001 and not dense
+    assert chunks.fit_spans(rows.limit(0)) == (chunks.MAX_CHUNK_US, {})
+
+
+def test_dense_trace_gives_the_same_result(spark):
+    from framelens.operators import chunks, features
+    from framelens.sources import sample_view as view
+
+    wide = view.packets(spark, SF, 10**9)
+    cut = chunks.assign_chunks(wide.drop("chunk"), rows_per_chunk=50)
+    assert cut.select("chunk").distinct().count() > 10
+    one, two = (
+        sorted(map(str, features.ip_udp_features(p).collect())) for p in (wide, cut)
     )
-    assert fullest <= 2_000
-    assert fit_span(rows.limit(0)) == 30_000_000
+    assert one == two
