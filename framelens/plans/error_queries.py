@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framelens.functions import app_label, second_of
 from framelens.operators import assembly, clean, errors, features, heuristics, splits
+from framelens.operators.frames import assign_frames
 from framelens.operators.ranks import ecdf, quantiles
+from framelens.plans import experiment
 from framelens.plans import sql_parts as p
 from framelens.plans.registry import query
 from framelens.sources import catalog
@@ -145,6 +148,53 @@ def mean_relative_error(spark, sf_dir):
     return errors.mean_relative_error(predictions(spark, sf_dir))
 
 
+@query(
+    "relative_errors",
+    pred_sql(
+        "select method, trace_id, ts, round((pred - gt) / nullif(gt, 0), 6) as rel_dev from pred "
+        "where metric = 'bitrate'"
+    ),
+)
+def relative_errors(spark, sf_dir):
+    return errors.relative_errors(predictions(spark, sf_dir)).select(
+        "method", "trace_id", "ts", "rel_dev"
+    )
+
+
+@query(
+    "trial_scores",
+    pred_sql(
+        "select metric || '_' || method || '_none_events_view_cv_' || fold as trial, vca, "
+        "round(avg(mae), 6) as mae, round(case when metric = 'framesReceivedPerSecond' then avg(near) "
+        "end, 6) as accuracy, count(*) as n_traces from (select metric, method, fold, p.vca, "
+        "p.trace_id, avg(abs(pred - gt)) as mae, avg((abs(pred - gt) <= 2)::int) as near "
+        "from pred p join fo using (trace_id) group by 1, 2, 3, 4, 5) group by metric, method, fold, vca",
+        "fo as (select trace_id, ntile(5) over (partition by vca order by trace_id) as fold "
+        "from (select distinct trace_id, vca from pk))",
+    ),
+)
+def trial_scores(spark, sf_dir):
+    folds = splits.kfold(view.packets(spark, sf_dir).select("trace_id", "vca").distinct())
+    found = predictions(spark, sf_dir).join(folds.select("trace_id", "fold"), "trace_id")
+    return experiment.trial_scores(found, "none", view.DATASET)
+
+
+@query(
+    "app_labels",
+    p.sql(
+        [p.PK],
+        "select case vca when 'meet' then 'Meet' when 'teams' then 'Teams' else 'Webex' end as app, "
+        "count(distinct trace_id) as n_traces, count(*) as n_pkts from pk group by 1",
+    ),
+)
+def app_labels(spark, sf_dir):
+    pk = view.packets(spark, sf_dir)
+    per_trace = pk.groupBy("vca", "trace_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_trace.groupBy(app_label("vca").alias("app")).agg(
+        F.count(F.lit(1)).alias("n_traces"), F.sum("n").alias("n_pkts")
+    )
+
+
 @query(
     "call_seconds",
     pred_sql(
@@ -454,8 +504,6 @@ ERR = """er as (
     ),
 )
 def assembly_errors(spark, sf_dir):
-    from framelens.operators.frames import assign_frames
-
     return assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
 
 
@@ -468,8 +516,6 @@ def assembly_errors(spark, sf_dir):
     ),
 )
 def mean_assembly_errors(spark, sf_dir):
-    from framelens.operators.frames import assign_frames
-
     table = assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
     long = errors.inaccuracy_long(table, ["frac_coalesce", "frac_interleave"])
     return errors.inaccuracy_means(long)
@@ -485,8 +531,6 @@ def mean_assembly_errors(spark, sf_dir):
     ),
 )
 def assembly_error_ecdf(spark, sf_dir):
-    from framelens.operators.frames import assign_frames
-
     table = assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
     long = errors.inaccuracy_long(table, ["frac_coalesce", "frac_interleave"])
     return ecdf(long, ["vca", "measure"], "value")
@@ -544,8 +588,6 @@ def lookback_sweep_assembly(spark, sf_dir):
     ),
 )
 def frame_trace(spark, sf_dir):
-    from framelens.operators.frames import assign_frames
-
     return assembly.frame_trace(assign_frames(kept_with_rtp(spark, sf_dir)), 0, 3)
 
 
@@ -717,8 +759,6 @@ gb as (
 
 def samples(spark, sf_dir):
     pk = view.packets(spark, sf_dir)
-    from framelens.functions import second_of
-
     return (
         pk.where(F.col("rtp_ts").isNotNull())
         .groupBy("trace_id", "vca", second_of("epoch_us").alias("ts"))

@@ -118,24 +118,25 @@ class Experiment:
         tables.write_predictions(predictions, f"{self.out}/predictions")
 
     def scores(self, predictions: DataFrame) -> DataFrame:
-        """Mean over traces of MAE and accuracy per trial and application."""
-        per_fold = predictions.withColumn(
-            "method",
-            F.concat_ws("|", "method", F.col("fold").cast("string")),
-        )
-        parts = F.split("method", "\\|")
-        scored = errors.macro_scores(per_fold)
-        subset = F.lit("-".join(self.groups))
-        return scored.select(
-            trial_id(F.col("metric"), parts[0], subset, F.lit(self.dataset), parts[1]).alias(
-                "trial"
-            ),
+        """The run log: two decimals, accuracy in percent."""
+        return trial_scores(predictions, "-".join(self.groups), self.dataset).select(
+            "trial",
             "vca",
             F.round("mae", 2).alias("mae_avg"),
             F.round(F.col("accuracy") * 100, 2).alias("accuracy_avg"),
         )
 
 
+def trial_scores(predictions: DataFrame, subset: str, dataset: str) -> DataFrame:
+    """Mean over traces of MAE and accuracy per trial (metric, method, fold) and application."""
+    trial = trial_id(
+        F.col("metric"), F.col("method"), F.lit(subset), F.lit(dataset), F.col("fold")
+    )
+    # Scores are kept apart by whatever stands in `method`.
+    scored = errors.macro_scores(predictions.withColumn("method", trial))
+    return scored.select(F.col("method").alias("trial"), "vca", "mae", "accuracy", "n_traces")
+
+
 def window_sweep(
     packets: DataFrame,
     labels: DataFrame,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framelens.operators import errors, features, learn, splits
-from framelens.operators.validate import validate
+from framelens.operators.validate import valid_traces, validate
 from framelens.plans import sql_parts as p
 from framelens.plans.experiment import window_sweep
 from framelens.plans.registry import query
@@ -122,6 +122,21 @@ def validation_with_protocol(spark, sf_dir):
     return validate(pk.na.fill({"ip_proto": "17"}), _ranges(pk))
 
 
+@query(
+    "valid_traces",
+    p.sql(
+        [p.PK, p.LB, "pv as (select * replace (coalesce(ip_proto, '17') as ip_proto) from pk)",
+         RANGES, *FACTS, f"vd as ({VERDICT})"],
+        "select distinct trace_id, vca from pk where trace_id in "
+        "(select trace_id from vd where reason is null)",
+    ),
+)
+def valid(spark, sf_dir):
+    pk = view.packets(spark, sf_dir)
+    verdicts = validate(pk.na.fill({"ip_proto": "17"}), _ranges(pk))
+    return valid_traces(pk.select("trace_id", "vca").distinct(), verdicts)
+
+
 # --- ground truth -----------------------------------------------------------------------------
 
 
