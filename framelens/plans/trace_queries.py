@@ -294,18 +294,19 @@ def window_features(spark, sf_dir):
 
 def _vector_sql(value: str) -> str:
     width = "case vca when 'teams' then 800 else 600 end"
+    heads = ", ".join(
+        f"round(coalesce(list_extract(vals, {i}), 0.0)::double, 6) as v{i}" for i in (1, 2, 3)
+    )
     return (
-        f"select trace_id, \"interval\", et, n, cast(sum_all as double) as sum_all, first_3, "
-        "width from (select trace_id, vca, \"interval\", et, count(*) as n, "
-        f"round(sum({value}), 6) as sum_all, "
-        f"list_transform(list({value} order by t_us, pkt_ord)[1:3] || [0.0, 0.0, 0.0], "
-        f"lambda x: round(x::double, 6))[1:3] as first_3, {width} as width from win "
+        f'select trace_id, "interval", et, n, round(total::double, 6) as sum_all, {heads}, width '
+        f'from (select trace_id, vca, "interval", et, count(*) as n, sum({value}) as total, '
+        f"list({value} order by t_us, pkt_ord) as vals, {width} as width from win "
         "group by 1, 2, 3, 4)"
     )
 
 
 def _vector_check(windowed, group: str, array: str):
-    """The padded vectors, condensed to what a hash can hold: sum, head and width."""
+    """The padded vectors, condensed: sum, first three values and width."""
     counts = windowed.groupBy(*features.WINDOW).agg(F.count(F.lit(1)).alias("n"))
     vec = features.window_features(windowed, groups=(group,))
     return vec.join(counts, features.WINDOW).select(
@@ -314,7 +315,7 @@ def _vector_check(windowed, group: str, array: str):
         "et",
         "n",
         F.aggregate(array, F.lit(0.0), lambda a, x: a + x).alias("sum_all"),
-        F.transform(F.slice(array, 1, 3), lambda x: F.round(x, 6)).alias("first_3"),
+        *[F.get(array, F.lit(i - 1)).alias(f"v{i}") for i in (1, 2, 3)],
         F.size(array).alias("width"),
     )
 
