@@ -83,6 +83,14 @@ def fit(train: DataFrame, metric: str, **options) -> PipelineModel | None:
     return forest(metric, names, **options).fit(rows)
 
 
+PREDICTIONS = (
+    "metric string, method string, vca string, trace_id bigint, ts bigint, pred double, gt double"
+)
+IMPORTANCES = (
+    "metric string, method string, fold int, vca string, feature string, score double"
+)
+
+
 def fit_many(tasks: dict, metric: str, parallelism: int = 3, **options) -> dict:
     """Fit one model per entry of ``tasks`` (key to training rows), several at a time.
 
@@ -138,5 +146,5 @@ def importances(
         names = [f"x_{i}" for i in range(len(scores))]
     return rows.sparkSession.createDataFrame(
         [(metric, method, fold, vca, n, s) for n, s in zip(names, scores)],
-        "metric string, method string, fold int, vca string, feature string, score double",
+        IMPORTANCES,
     )

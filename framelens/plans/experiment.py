@@ -107,7 +107,7 @@ class Experiment:
                 key = f"{metric}/{method}/{fold}/{vca}"
                 model.write().overwrite().save(f"{self.out}/models/{key}")
                 scores = learn.importances(model, rows, metric, method, fold, vca)
-                scores.write.mode("append").parquet(f"{self.out}/importances")
+                tables.write_predictions(scores, f"{self.out}/importances")
                 test = of_app[vca].where(F.col("fold") == fold)
                 found = learn.predict(model, test, metric, method)
                 self._store(found.withColumn("fold", F.lit(fold)))
@@ -148,13 +148,19 @@ def window_sweep(
 ) -> DataFrame:
     """MAE per application and prediction window, one fold. A window of several seconds still
     takes the label of the one second it ends in."""
-    parts = []
+    parts = [
+        packets.sparkSession.createDataFrame(
+            [], "metric string, vca string, mae double, window_s double"
+        )
+    ]
     for window_us in windows_us:
         rows = features.join_labels(
             features.ip_udp_features(packets, window_us), labels, [metric]
         ).join(folds.select("trace_id", "fold"), "trace_id")
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        model = learn.fit(train.persist(), metric, **forest)
+        train = train.persist()
+        model = learn.fit(train, metric, **forest)
+        train.unpersist()
         if model is None:
             continue
         found = learn.predict(model, test, metric, "ip-udp-ml")

@@ -32,11 +32,14 @@ def _fold_1(spark, sf_dir, metric: str, method: str):
     rows = labelled(spark, sf_dir, metric, method)
     apps = {v: rows.where(F.col("vca") == v) for v in ("meet", "teams", "webex")}
     models = learn.fit_many({v: r.where(F.col("fold") != 1) for v, r in apps.items()}, metric)
-    found = [
+    # Start from empty tables: too few traces give no model and no rows, not an error.
+    found = [spark.createDataFrame([], learn.PREDICTIONS)] + [
         learn.predict(m, apps[v].where(F.col("fold") == 1), metric, method)
         for v, m in models.items()
     ]
-    scores = [learn.importances(m, rows, metric, method, 1, v) for v, m in models.items()]
+    scores = [spark.createDataFrame([], learn.IMPORTANCES)] + [
+        learn.importances(m, rows, metric, method, 1, v) for v, m in models.items()
+    ]
     return errors.all_results(found), errors.all_results(scores)
 
 

@@ -15,7 +15,10 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_predictions(predictions: DataFrame, path: str) -> None:
-    """Replace only the (metric, method, fold, vca) directories that ``predictions`` holds."""
+    """Replace only the (metric, method, fold, vca) directories that ``predictions`` holds.
+
+    Also used for importances, which have the same keys: a repeated run leaves no duplicates.
+    """
     (
         predictions.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
