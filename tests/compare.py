@@ -28,7 +28,7 @@ def canonical(pdf):
     cols = sorted(pdf.columns)
 
     def cell(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or str(v) == "<NA>" or (isinstance(v, float) and math.isnan(v)):
             return "null"
         if isinstance(v, (bool,)):
             return str(v)
