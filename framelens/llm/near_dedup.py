@@ -153,7 +153,8 @@ def near_pairs(members: DataFrame) -> DataFrame:
     """Candidates within RADIUS, of different labels, each in the first bucket that the two share.
 
     members: key, id, label, star, block, signature. One row per document and tile pair: the tile pair,
-    the document and its partners, nearest first.
+    the document, its partners, nearest first, and which documents of the tile pair this bucket has not
+    named in an earlier row.
     """
     many = Window.partitionBy("key")
     blocks = F.ceil(F.count("*").over(many) / BLOCK).cast("int")
@@ -168,6 +169,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
             marks = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
             ids, labels, star, block, part = (table[c].to_numpy() for c in ("id", "label", "star", "block", "part"))
             place = int(table["key"][0].as_py()) >> 48
+            named: dict[tuple, set[int]] = {}
             across = table["lo"][0].as_py() != table["hi"][0].as_py()
             for i in range(len(ids) - 1):
                 fit = labels[i + 1 :] != labels[i]
@@ -192,7 +194,13 @@ def near_pairs(members: DataFrame) -> DataFrame:
                     inside = others[(star[others] == pair[0]) & (block[others] == pair[1])]
                     a, b = (star[i], block[i]), pair
                     a, b = min(a, b), max(a, b)
-                    rows.append(dict(zip(TILE, (*a, *b), strict=True)) | {"id": ids[i], "partners": ids[inside].tolist()})
+                    known = named.setdefault((*a, *b), set())
+                    fresh = {int(ids[i]), *ids[inside].tolist()} - known
+                    known |= fresh
+                    rows.append(
+                        dict(zip(TILE, (*a, *b), strict=True))
+                        | {"id": ids[i], "partners": ids[inside].tolist(), "fresh": list(fresh)}
+                    )
             if len(rows) > 2000:
                 yield pa.RecordBatch.from_pylist(rows, PAIR_SCHEMA)
                 rows = []
@@ -201,7 +209,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
     return (
         dealt.repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi", "id")
-        .mapInArrow(run, f"{TILES}, id long, partners array<long>")
+        .mapInArrow(run, f"{TILES}, id long, partners array<long>, fresh array<long>")
     )
 
 
@@ -213,18 +221,14 @@ PAIR_SCHEMA = pa.schema(
         ("block_b", pa.int32()),
         ("id", pa.int64()),
         ("partners", pa.list_(pa.int64())),
+        ("fresh", pa.list_(pa.int64())),
     ]
 )
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges (a, b) of a forest of the pairs whose full sets are similar enough, per tile pair."""
-    need = stored(
-        pairs.select(*TILE, "id")
-        .unionByName(pairs.select(*TILE, F.explode(F.array_distinct(F.concat(F.array("id"), "partners"))).alias("id")))
-        .distinct(),
-        "need",
-    )
+    need = stored(pairs.select(*TILE, F.explode("fresh").alias("id")).distinct(), "need")
     texts = _with_id(docs).join(small(need, MANY), "id").select(*TILE, F.lit(0).alias("kind"), "id", "text", F.lit(None).cast("array<long>").alias("partners"))
     lists = pairs.select(*TILE, F.lit(1).alias("kind"), "id", F.lit(None).cast("string").alias("text"), "partners")
     percent, whole = SIMILAR
@@ -295,7 +299,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     sizes = stars.groupBy("center").agg(F.count("*").alias("size"))
     stars = stored(stars.join(sizes, "center").select("id", "center", *_tile("center", "id", "size")), "stars")
     tiles = [F.col("star").alias("star_a"), F.col("block").alias("block_a"), F.col("star").alias("star_b"), F.col("block").alias("block_b")]
-    links = stored(confirmed(docs, stars.select(*tiles, "id", F.array("center").alias("partners"))), "links")
+    links = stored(confirmed(docs, stars.select(*tiles, "id", F.array("center").alias("partners"), F.array("id", "center").alias("fresh"))), "links")
     labels = components(links)
 
     # What is left: buckets that hold more than one component so far.
