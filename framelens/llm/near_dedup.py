@@ -152,9 +152,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
 def near_pairs(members: DataFrame) -> DataFrame:
     """Candidates within RADIUS, of different labels, each in the first bucket that the two share.
 
-    members: key, id, label, star, block, signature. One row per document and tile pair: the tile pair,
-    the document, its partners, nearest first, and which documents of the tile pair this bucket has not
-    named in an earlier row.
+    members: key, id, label, star, block, signature. One row per document and tile pair: the tile pair, the
+    document, its partners, nearest first, and `fresh`, those of them that the bucket has not named for this
+    tile pair before, so that a document is sent for once and not once a pair.
     """
     many = Window.partitionBy("key")
     blocks = F.ceil(F.count("*").over(many) / BLOCK).cast("int")
