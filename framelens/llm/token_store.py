@@ -86,7 +86,7 @@ def _placed(stored: DataFrame) -> list:
     name = F.col("_metadata.file_name")
     return [
         F.regexp_extract(name, r"part-(\d+)", 1).cast("long").alias("part"),
-        F.regexp_extract(name, r"\.?c(\d+)", 1).cast("long").alias("file"),
+        F.regexp_extract(name, r"-c(\d+)\.", 1).cast("long").alias("file"),
         F.col("_metadata.row_index").alias("at"),
     ]
 
