@@ -73,13 +73,13 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_proto=proto)
         fields = _message(proto)
-        trainer = _message(fields.get(2, [b""])[0])
-        normalizer = _message(fields.get(3, [b""])[0])
+        trainer = _message(b"".join(fields.get(2, [])))
+        normalizer = _message(b"".join(fields.get(3, [])))
         self.kind = trainer.get(3, [UNIGRAM])[-1]
-        self.prefix = bool(normalizer.get(3, [1])[0])
+        self.prefix = bool(normalizer.get(3, [1])[-1])
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models can be read")
-        if normalizer.get(2, [b""])[0] or normalizer.get(4, [1])[0] or not normalizer.get(5, [1])[0]:
+        if normalizer.get(2, [b""])[-1] or normalizer.get(4, [1])[-1] or not normalizer.get(5, [1])[-1]:
             raise ValueError("only models that leave the text as it is can be read")
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
