@@ -53,8 +53,8 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def with_revisits(rows: DataFrame, least: int = 100) -> DataFrame:
-    """Rows with refers_to (the response's page_id) and its record id; both null for responses.
+def revisits(rows: DataFrame, least: int = 100) -> DataFrame:
+    """record_id of every revisit, refers_to (the response's page_id) and that response's record id.
 
     A digest may be that of a third of all rows: its headers are dealt over salts and each salt summed up.
     """
@@ -71,7 +71,7 @@ def with_revisits(rows: DataFrame, least: int = 100) -> DataFrame:
         .where("n > 1")
         .select("payload_digest", "first", F.explode("salts").alias("salt"))
     )
-    repeats = (
+    return (
         heads.join(first, ["payload_digest", "salt"])
         .where("head.record_id != first.record_id")
         .select(
@@ -81,7 +81,18 @@ def with_revisits(rows: DataFrame, least: int = 100) -> DataFrame:
         )
         .distinct()
     )
-    return rows.join(repeats, "record_id", "left")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows in as many parts as archives of about ARCHIVE_BYTES take, by a hash of the record id: a large
+    group of copies does not land in one part, and payloads move once, to where revisits are joined too."""
+    total = rows.agg(F.sum("payload_bytes")).first()[0] or 0
+    return rows.repartition(-(-total // ARCHIVE_BYTES) or 1, "record_id")
+
+
+def with_revisits(rows: DataFrame, least: int = 100) -> DataFrame:
+    """Rows dealt to archives, with refers_to and refers_to_record; both null for responses."""
+    return dealt(rows).join(revisits(rows, least), "record_id", "left")
 
 
 def _lines(*fields: tuple[str, Column]) -> Column:
@@ -94,11 +105,8 @@ def _lines(*fields: tuple[str, Column]) -> Column:
 
 
 def write_archive(rows: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
-    """One record per row, with headers made anew. `rows` as from with_revisits, html in full.
-
-    Rows are dealt to archives of about ARCHIVE_BYTES by a hash, so a large group of copies does not land
-    in one of them.
-    """
+    """One record per row, with headers made anew; one archive per part of the rows, as from
+    with_revisits, html in full."""
     revisit = F.col("refers_to_record").isNotNull()
     body = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     http = F.concat(F.lit(HTTP), _lines(("Content-Length", F.octet_length(body))), F.lit("\r\n"))
@@ -117,11 +125,7 @@ def write_archive(rows: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z"
     )
     # The writer ends every row by one line feed, the last sign of a record's closing blank lines.
     record = F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n"), block, F.lit("\r\n\r"))
-    total = rows.agg(F.sum(F.when(revisit, 0).otherwise(F.col("payload_bytes")))).first()[0] or 0
-    archives = -(-total // ARCHIVE_BYTES) or 1
-    rows.select(record.alias("value"), F.xxhash64("record_id").alias("deal")).repartition(archives, "deal").select(
-        "value"
-    ).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def _field_map(head: bytes) -> dict[str, str]:
