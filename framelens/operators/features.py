@@ -266,10 +266,16 @@ def join_rtp_features(packet_features: DataFrame, header_features: DataFrame) ->
     )
 
 
-def join_labels(features: DataFrame, labels: DataFrame, metrics: list[str]) -> DataFrame:
-    """Inner join on end second = label second, rows with a missing label dropped."""
+def join_labels(
+    features: DataFrame, labels: DataFrame, metrics: list[str], every: bool = True
+) -> DataFrame:
+    """Inner join on end second = label second, rows with a missing label dropped.
+
+    With ``every=False`` a row stays as long as it has one of the labels.
+    """
     truth = labels.select("trace_id", F.col("ts").alias("et"), *metrics)
-    return features.join(truth, ["trace_id", "et"]).dropna(subset=metrics)
+    joined = features.join(truth, ["trace_id", "et"])
+    return joined.dropna("any" if every else "all", subset=metrics)
 
 
 # What identifies a row or labels it, never a model input.

@@ -20,7 +20,7 @@ METRICS = ["framesReceivedPerSecond", "bitrate", "frame_jitter", "frameHeight"]
 ROUNDED = ("framesPerSecond", "framesRendered", "framesReceived", "framesReceivedPerSecond")
 CLASSES = ("frameHeight",)
 TREES = 100
-DEPTH = 20
+DEPTH = 30
 
 
 def model_input(rows: DataFrame, metric: str) -> tuple[DataFrame, list[str]]:

@@ -23,6 +23,14 @@ from framelens.session import cut_lineage
 PIECES = 256
 
 
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on group keys, rows with a null key forming a group of their own."""
+    own = {k: f"_right_{k}" for k in keys}
+    other = right.withColumnsRenamed(own)
+    on = [left[k].eqNullSafe(other[name]) for k, name in own.items()]
+    return left.join(other, on, how).drop(*own.values())
+
+
 def value_ranks(
     df: DataFrame, keys: Sequence[str], value: str, pieces: int = PIECES
 ) -> DataFrame:
@@ -44,7 +52,7 @@ def value_ranks(
         .agg(F.sort_array(F.collect_list(value)).alias("_cuts"))
     )
     if keys:
-        cut = counts.join(F.broadcast(cuts), keys, "left")
+        cut = join_groups(counts, F.broadcast(cuts), keys, "left")
     else:
         cut = counts.crossJoin(F.broadcast(cuts))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
@@ -70,7 +78,7 @@ def value_ranks(
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return located.join(starts, [*keys, "_piece"]).select(
+    return join_groups(located, starts, [*keys, "_piece"]).select(
         *keys,
         value,
         "n",
@@ -117,4 +125,4 @@ def positions(df: DataFrame, keys: Sequence[str], order: str, name: str = "pos")
     ranks = value_ranks(df, keys, order).select(
         *keys, order, (F.col("upto") - 1).alias(name), "total"
     )
-    return df.join(ranks, [*keys, order])
+    return join_groups(df, ranks, [*keys, order])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.operators.ranks import positions, quantiles
+from framelens.operators.ranks import join_groups, positions, quantiles
 from framelens.sources.catalog import with_profile
 
 PROFILE = ["th", "th_jitter", "lat", "lat_jitter", "loss"]
@@ -50,13 +50,15 @@ def network_split(traces: DataFrame, ratio: float) -> DataFrame:
 
 
 def throughput_split(traces: DataFrame) -> DataFrame:
-    """Traces at or below the application's median throughput jitter train.
+    """Traces at or below the application's median throughput jitter train, all others test.
+
+    Traces without a profile have no jitter and test.
 
     One median per application: a handful of rows, hence the broadcast.
     """
     profiled = with_profile(traces)
     median = quantiles(profiled, ["vca"], "th_jitter", {"_median": 0.5})
-    joined = profiled.join(F.broadcast(median), "vca")
+    joined = join_groups(profiled, F.broadcast(median), ["vca"], "left")
     train = F.col("th_jitter") <= F.col("_median")
     return joined.select(*traces.columns, F.when(train, "train").otherwise("test").alias("split"))
 

@@ -57,7 +57,10 @@ class Experiment:
         for method in self.methods:
             if method.endswith("-ml"):
                 rows = self._features(method)
-                labelled = features.join_labels(rows, self.labels, list(self.metrics))
+                # A second without one label still serves the other metrics.
+                labelled = features.join_labels(
+                    rows, self.labels, list(self.metrics), every=False
+                )
                 tables.write_features(labelled, f"{self.out}/features/{method}")
             else:
                 self._estimates(method).write.mode("overwrite").parquet(

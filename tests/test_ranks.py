@@ -43,3 +43,15 @@ def test_whole_table_and_text_order(spark):
     df = spark.createDataFrame([(w,) for w in "delta alpha charlie bravo".split()], "w string")
     pos = {r["w"]: r["pos"] for r in positions(df, [], "w").collect()}
     assert pos == {"alpha": 0, "bravo": 1, "charlie": 2, "delta": 3}
+
+
+def test_null_groups_keep_their_rows(spark):
+    rows = [(None, 1.0), (None, 2.0), ("a", 1.0), ("a", 1.5), (None, None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    assert {(r["k"], r["v"], r["upto"]) for r in value_ranks(df, ["k"], "v").collect()} == {
+        (None, 1.0, 1),
+        (None, 2.0, 2),
+        ("a", 1.0, 1),
+        ("a", 1.5, 2),
+    }
+    assert positions(df.where("v is not null"), ["k"], "v").count() == 4

@@ -50,3 +50,15 @@ def test_throughput_split_at_the_median(traces):
 def test_held_out_complements(traces):
     train = splits.fold_split(splits.kfold(traces), 1).where("split = 'train'")
     assert splits.held_out(traces, train).count() + train.count() == 13
+
+
+@pytest.mark.parametrize("criterion", ["random", "network-condition", "throughput-std"])
+def test_no_trace_is_lost_without_profile_or_application(spark, traces, criterion):
+    odd = spark.createDataFrame(
+        [("d", "meet", "u1", "/x/plain.csv"), ("d", None, "u2", "/x/y.csv"), ("d", "solo", "u3", "/x/z.csv")],
+        traces.schema,
+    )
+    rows = traces.unionByName(odd)
+    got = splits.split_traces(rows, criterion)
+    assert sorted(r["trace_id"] for r in got.collect()) == sorted(r["trace_id"] for r in rows.collect())
+    assert splits.kfold(rows, 5).count() == rows.count()
