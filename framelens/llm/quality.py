@@ -146,6 +146,8 @@ def verdict(features: DataFrame, name: str, least: float = 0.5) -> Column:
     columns = votes(F.col(name))
     counted = features.select(*[v.alias(f"v{j}") for j, v in enumerate(columns)])
     rows = counted.groupBy(*counted.columns).agg(F.count("*").alias("n")).collect()  # at most 3^7
+    if not rows:
+        return F.lit(False)
     share, favour = estimate(sorted((tuple(r)[:-1], r["n"]) for r in rows))
     weight = []
     for part, row in zip(share, favour, strict=True):
