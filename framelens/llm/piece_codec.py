@@ -93,6 +93,9 @@ class Codec:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.controls = {i for i in range(size) if model.is_control(i)}
+        odd = self.controls | set(self.byte_of) | {self.unknown}
+        self.odd = np.isin(np.arange(size), list(odd))
+        self.shown = [p.replace(BLANK, " ") for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             self.automaton.add_word(piece, (len(piece), i))
@@ -186,20 +189,25 @@ class Codec:
         known = self.words.young
         return b"".join(map(known.__getitem__, words))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray | list[int]) -> str:
+        """The text of the ids: plain pieces are joined run by run, bytes gathered until a piece follows."""
+        ids = np.asarray(ids, np.int64)
+        at, every = 0, ids.tolist()
         out: list[str] = []
         raw = bytearray()
-        pieces, byte_of = self.pieces, self.byte_of
-        for i in ids:
-            if i in byte_of:
-                raw.append(byte_of[i])
-                continue
-            if raw:
+        shown, byte_of = self.shown.__getitem__, self.byte_of
+        for odd in [*np.flatnonzero(self.odd[ids]).tolist(), len(every)]:
+            if raw and (odd > at or odd == len(every) or every[odd] not in byte_of):
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.controls:
-                out.append(" ⁇ " if i == self.unknown else pieces[i])
-        out.append(raw.decode("utf-8", "replace"))
+            out += map(shown, every[at:odd])
+            at = odd + 1
+            if odd == len(every):
+                break
+            if every[odd] in byte_of:
+                raw.append(byte_of[every[odd]])
+            elif every[odd] not in self.controls:
+                out.append(" ⁇ ")
         text = "".join(out).replace(BLANK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
@@ -233,8 +241,9 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         own = codec(model)
         for batch in batches:
             lists = batch["ids"]
-            texts = [own.decode(x.values.to_pylist() if x.is_valid else []) for x in lists]
-            crc = [zlib.crc32(x.values.to_numpy().astype("<u4").tobytes() if x.is_valid else b"") for x in lists]
+            arrays = [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in lists]
+            texts = [own.decode(x) for x in arrays]
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in arrays]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text"], lists, pa.array(texts, pa.string()), pa.array(crc, pa.int64())],
                 ["doc_id", "text", "ids", "decoded", "ids_crc32"],
