@@ -4,7 +4,7 @@ Every element gets a density: its characters per tag, adjusted by the share of c
 links. An element's density sum is that of its children. The element with the greatest sum holds the
 article; the smallest density on the path from it up to the body is the threshold by which parts beside
 that path still belong to it. Elements that say what they are (navigation, forms, adverts, comments, ...)
-are left out before any density is computed.
+are left out before any density is computed, unless they hold most of the page's text outside links.
 
 The base of the logarithm in the density is raised by one: as published it can be 1, where none exists.
 
@@ -32,34 +32,58 @@ BLOCKS = set(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre "
     "section select summary table tbody td tfoot th thead tr ul".split()
 )
-NOT_TEXT = set(
-    "aside audio button canvas datalist dialog footer form head input menu nav object optgroup option select svg video".split()
-)
+# Never text, and left out unless they hold most of it.
+CONTROLS = set("audio button canvas datalist input object optgroup option select svg video".split())
+NOT_TEXT = CONTROLS | set("aside dialog footer form head menu nav".split())
+# Those that pages also put around whole articles.
+AROUND = {"form", "head"}
 # Elements that an opening tag of the same set ends, up to the nearest element that holds such lists.
 SIBLINGS = {t: s for s in ({"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}, {"thead", "tbody", "tfoot"}) for t in s}
 HOLDERS = set("ul ol dl menu table tr select body td th".split())
-# Words in class, id or role by which an element says that it isn't part of the article.
-ELSEWHERE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|"
-    r"comments?|disqus|respon[ds]\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|"
-    r"related|widget|search|login|complementary|contentinfo)(?:$|[\s_-])",
-    re.I,
-).search
+# A class, id or role by which an element says that it isn't part of the article: these words alone, joined
+# to each other, or joined to words for a place or a kind of box. Anything else (has-sidebar) says less.
+_TALK = "comments?|disqus|respond|responses?"
+_WORD = (
+    r"ads?|adverts?|advertisements?|advertising|sponsor(?:s|ed)?|promos?|promotions?|banner|nav|navbar|navigation|menu|"
+    rf"breadcrumbs?|sidebar|footer|masthead|{_TALK}|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|"
+    r"sharing|social|related|widget|search|login|complementary|contentinfo"
+)
+_PLACE = (
+    r"left|right|top|bottom|upper|lower|primary|secondary|site|global|mobile|desktop|wrap|wrapper|container|area|"
+    r"section|block|box|bar|list|links?|items?|buttons?|icons?|posts?|form|signup|\d+"
+)
+ELSEWHERE = re.compile(rf"(?:(?:{_PLACE})[_-]+)*(?:{_WORD})(?:[_-]+(?:{_WORD}|{_PLACE}))*", re.I).fullmatch
+TALK = re.compile(rf"(?:.*[_-])?(?:{_TALK})(?:[_-].*)?", re.I).fullmatch
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[/a-zA-Z][^>]*\Z",
     re.S,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I).findall
+_ATTRIBUTES = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?").findall
+# What an element says of itself: nothing, that it isn't part of the article, the same beyond doubt, that it
+# is no text.
+PART, APART, SURELY, NO_TEXT = range(4)
+
+
+def _says(attributes: str) -> int:
+    """PART, APART or SURELY by the attributes of a tag; of repeated attributes the first counts."""
+    given: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTES(attributes):
+        given.setdefault(name.lower(), a or b or c)
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
+        return SURELY
+    tokens = [t for n in ("class", "id", "role") if n in given for t in unescape(given[n]).split() if ELSEWHERE(t)]
+    return (SURELY if any(map(TALK, tokens)) else APART) if tokens else PART
 
 
 class Page:
-    """Elements in page order (a parent before its children) and the blocks of text below them."""
+    """Elements in page order (a parent before its children) and the runs of text below them."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.out = ["html"], [-1], [False]
+        self.tag, self.parent, self.says = ["html"], [-1], [PART]
         self.chars, self.links = [0], [0]
-        self.blocks: list[tuple[int, str]] = []
-        self._stack, self._links, self._run, self._at = [0], 0, [], 0
+        # Per run of text its pieces, each with its element.
+        self.runs: list[list[tuple[int, str]]] = []
+        self._stack, self._links, self._run = [0], 0, []
         self._parse(html)
 
     def _parse(self, html: str) -> None:
@@ -85,25 +109,21 @@ class Page:
             return
         text, node = unescape(raw), self._stack[-1]
         n = sum(map(len, text.split()))
-        if n and not self.out[node]:
-            if not self._run:
-                self._at = node
-            self.chars[node] += n
-            self.links[node] += n * (self._links > 0)
+        self.chars[node] += n
+        self.links[node] += n * (self._links > 0)
         if self._run or n:
-            if not self.out[node]:
-                self._run.append(text)
+            self._run.append((node, text))
 
     def _flush(self) -> None:
         if self._run:
-            self.blocks.append((self._at, " ".join("".join(self._run).split())))
+            self.runs.append(self._run)
             self._run = []
 
     def _open(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self._flush()
         if name == "br" and self._run:
-            self._run.append(" ")
+            self._run.append((self._stack[-1], " "))
         if name in VOID:
             return
         if name in BLOCKS and "p" in (self.tag[i] for i in self._stack[-8:]):
@@ -116,12 +136,16 @@ class Page:
                 if self.tag[i] in HOLDERS:
                     break
         above = self._stack[-1]
-        out = self.out[above] or name in NOT_TEXT or (name == "header" and not self._inside("article", "main"))
-        if not out and attributes and name != "body" and name != "html":
-            out = any(h or ELSEWHERE(a or b or c) for a, b, c, h in _NAMES(attributes))
+        says = PART
+        if name in CONTROLS:
+            says = NO_TEXT
+        elif name in NOT_TEXT or (name == "header" and not self._inside("article", "main")):
+            says = APART if name in AROUND else SURELY
+        elif attributes and name != "body" and name != "html":
+            says = _says(attributes)
         self.tag.append(name)
         self.parent.append(above)
-        self.out.append(out)
+        self.says.append(says)
         self.chars.append(0)
         self.links.append(0)
         self._stack.append(len(self.tag) - 1)
@@ -143,12 +167,34 @@ class Page:
             if name not in BLOCKS and self.tag[self._stack[k]] in BLOCKS:
                 return
 
-    def text(self) -> str:
+    def _left_out(self) -> list[bool]:
+        """Per element whether it or one around it is left out.
+
+        A form, or what only a name tells, stays in if it holds more than half of the page's text outside
+        links. Comments, footers and the like can be longer than the article, so they stay in by that rule
+        only where nothing else has such text.
+        """
         size = len(self.tag)
+        plain = [c - n for c, n in zip(self.chars, self.links, strict=True)]
+        own = plain[:]
+        for i in range(size - 1, 0, -1):
+            if self.says[i] != NO_TEXT:
+                plain[self.parent[i]] += plain[i]
+        most = [2 * n > plain[0] for n in plain]
+        out = [False] * size
+        for never in ((SURELY, NO_TEXT), (NO_TEXT,)):
+            for i in range(1, size):
+                out[i] = out[self.parent[i]] or self.says[i] in never or (self.says[i] != PART and not most[i])
+            if any(n and not o for n, o in zip(own, out, strict=True)):
+                break
+        return out
+
+    def text(self) -> str:
+        size, out = len(self.tag), self._left_out()
         chars, links, tags, link_tags = self.chars[:], self.links[:], [0] * size, [0] * size
         for i in range(size - 1, 0, -1):
             p = self.parent[i]
-            if not self.out[i]:
+            if not out[i]:
                 chars[p] += chars[i]
                 links[p] += links[i]
                 tags[p] += tags[i] + 1
@@ -159,12 +205,12 @@ class Page:
         density, sums = [0.0] * size, [0.0] * size
         for i in range(size - 1, -1, -1):
             c, t, lc = chars[i], tags[i] or 1, links[i]
-            if c and not self.out[i]:
+            if c and not out[i]:
                 base = 1 + log(c / max(c - lc, 1) * lc + share * c + e)
                 density[i] = c / t * max(0.0, log(c * t / (max(lc, 1) * (link_tags[i] or 1)), base))
             if i:
                 sums[self.parent[i]] += density[i]
-        blocks = [i for i in range(size) if self.tag[i] in BLOCKS and not self.out[i]]
+        blocks = [i for i in range(size) if self.tag[i] in BLOCKS and not out[i]]
         best = max(blocks or [0], key=lambda i: (sums[i], -i))
         path = [best]
         while path[-1]:
@@ -177,9 +223,16 @@ class Page:
             p = self.parent[i]
             if i == best or i in on_path:
                 kept[i] = True
-            elif p >= 0 and kept[p] and not self.out[i]:
+            elif p >= 0 and kept[p] and not out[i]:
                 kept[i] = p not in on_path or p == best or density[i] >= least
-        return "\n\n".join(text for i, text in self.blocks if kept[i])
+        blocks_of_text = []
+        for run in self.runs:
+            inside = [(i, t) for i, t in run if not out[i]]
+            # A run belongs where its first word stands.
+            at = next((i for i, t in inside if t.strip()), None)
+            if at is not None and kept[at]:
+                blocks_of_text.append(" ".join("".join(t for _, t in inside).split()))
+        return "\n\n".join(blocks_of_text)
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -152,6 +152,37 @@ def test_page_text(html, text):
     assert html_text.Page(html or "").text() == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div style='overflow:hidden'><p>all of it</p></div>", "all of it"),
+        ("<div aria-hidden='false' data-class='sidebar'><p>all of it</p></div>", "all of it"),
+        ("<p>to <a href='/hidden-gems/x'>this place</a> and on</p>", "to this place and on"),
+        ("<p>seen</p><p hidden>no</p><p aria-hidden=true>no</p><p HIDDEN=''>no</p>", "seen"),
+        ("<div class='site has-sidebar'><div class='sidebar'>no</div><p>words</p></div>", "words"),
+        *[
+            (f"<p>first words</p><div {said}><p>more</p></div>", "first words\n\nmore")
+            for said in (
+                "class='no-sidebar'",
+                "class='main-content with-comments'",
+                "class='entry responsive'",
+                "class=table-responsive",
+                "id=elementor-widget",
+                "class='search-result'",
+            )
+        ],
+        ("<p>some words</p><div class='x nav-menu'>no</div><div id='cookie-banner'>no</div><div role=navigation>no</div>", "some words"),
+        ("<form id=aspnet><nav>no</nav><div class=footer>no</div><p>the whole page</p></form>", "the whole page"),
+        ("<div class=widget><p>the whole page</p></div><footer>no</footer>", "the whole page"),
+        ("<div class=comments><p>the whole page</p></div>", "the whole page"),
+        ("<p>text</p><footer>longer than the text</footer>", "text"),
+        ("<p>text</p><form><select><option>many choices here</select></form>", "text"),
+    ],
+)
+def test_text_left_out_by_name(html, text):
+    assert html_text.Page(html).text() == text
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<p>x")], "page_id long, url string, html string")
     assert sorted((r.text, r.n_chars) for r in html_text.with_length(html_text.main_text(df)).collect()) == [("", 0), ("x", 1)]
