@@ -57,6 +57,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).alias(name)
 
 
+def row_key(text: str = "text") -> Column:
+    """A hash that tells rows with one doc_id, or with none, apart by their texts; rows equal in both share it."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text_or_empty(text))
+
+
 def spread(*key: str, ways: int = 64) -> Column:
     """A salt that deals the rows of one hot key to several tasks and is the same in every run."""
     return F.pmod(F.xxhash64(*key), F.lit(ways)).cast("int")

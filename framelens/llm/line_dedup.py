@@ -7,15 +7,16 @@ the segments of lines of its own or a smaller length could be. What meets there
 that lose no link (an edit flips at most two of 64 parity bits of the characters and four of those of
 neighbouring characters) and confirmed by a bit-parallel edit distance on a band of 2 TAU + 1 diagonals.
 
-An occurrence of a line stays if it is the first of its text, in the order of doc_id and line number, and
-no linked text has an earlier first occurrence. Lines under LEAST_CHARS code points are always kept.
+An occurrence of a line stays if it is the first of its text, in the order of doc_id, document and line
+number, and no linked text has an earlier first occurrence. Lines under LEAST_CHARS code points are always kept.
 
 Only DataFrame functions are used. A line in a third of all documents is one entry: occurrences are
 summed on the map side, for index keys as for texts, before any shuffle. Index entries carry hashes, not
 texts; texts are fetched for lines that share an entry with another line.
 
-Nulls: a null text has no lines and stays null. Rows with a null id count as one document after all
-others. Rows that repeat an id are one document, given twice. An empty table gives no rows. Columns but
+Nulls: a null text has no lines and stays null. A document is a doc_id with a text: rows with a null id, or
+with one id, are documents of their own if their texts differ, in the order of a hash (null ids after all
+others), and one document, given several times, if they don't. An empty table gives no rows. Columns but
 doc_id, text and n_chars are passed on as they are.
 """
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import small, stored
+from framelens.llm.common import row_key, small, stored
 
 TAU = 2
 LEAST_CHARS = 20
@@ -32,15 +33,23 @@ LEAST_CHARS = 20
 MANY = 1_000_000
 NO_ID = (1 << 63) - 1
 TEXT = ["h1", "h2"]
+DOC = ["id", "row"]
+
+
+def _doc() -> list[Column]:
+    """The columns DOC, never null."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), row_key().alias("row")]
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
-    """id, line number, length, text and two independent hashes of every line long enough to compare."""
+    """Document, line number, length, text and two independent hashes of every line long enough to compare."""
     return (
-        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+        # In two steps, so that a document is hashed once and not once a line.
+        docs.select(*_doc(), F.split("text", "\n", -1).alias("lines"))
+        .select(*DOC, F.posexplode("lines").alias("at", "line"))
         .where(F.char_length("line") >= LEAST_CHARS)
         .select(
-            "id",
+            *DOC,
             "at",
             F.char_length("line").alias("size"),
             "line",
@@ -192,12 +201,12 @@ def links(lines: DataFrame) -> DataFrame:
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
-    """id, at, size, exact, near and n_links of every compared line that is repeated or linked.
+    """id, row, at, size, exact, near and n_links of every compared line that is repeated or linked.
 
     exact: it is not the first of its text. near: a linked text occurs earlier.
     """
     lines = all_lines(docs)
-    texts = lines.groupBy(*TEXT).agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("times"))
+    texts = lines.groupBy(*TEXT).agg(F.min(F.struct(*DOC, "at")).alias("first"), F.count("*").alias("times"))
     texts = stored(texts.select(*TEXT, "first", "times"), "firsts")
     found = links(lines)
     own = found.join(texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("first").alias("mine")), ["a1", "a2"])
@@ -207,10 +216,10 @@ def marked_lines(docs: DataFrame) -> DataFrame:
     )
     marks = texts.join(near, TEXT, "left").where("times > 1 or n_links is not null")
     return lines.drop("line").join(marks, TEXT).select(
-        "id",
+        *DOC,
         "at",
         "size",
-        (F.struct("id", "at") != F.col("first")).alias("exact"),
+        (F.struct(*DOC, "at") != F.col("first")).alias("exact"),
         F.coalesce("near", F.lit(False)).alias("near"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
@@ -221,7 +230,7 @@ def line_report(docs: DataFrame) -> DataFrame:
     per_doc = (
         marked_lines(docs)
         .distinct()
-        .groupBy("id")
+        .groupBy(*DOC)
         .agg(
             F.count_if("exact").alias("n_exact"),
             F.count_if(F.expr("near and not exact")).alias("n_near"),
@@ -231,14 +240,15 @@ def line_report(docs: DataFrame) -> DataFrame:
         )
     )
     heads = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *_doc(),
         F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"),
     ).withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
-    rows = heads.join(per_doc, "id", "left")
+    rows = heads.join(per_doc, DOC, "left")
     zero = F.lit(0).cast("long")
     return rows.select(
-        F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
+        "doc_id",
         "n_lines",
         *[F.coalesce(c, zero).alias(c) for c in ("n_exact", "n_near", "n_links")],
         # Code points of the lines that stay, without line ends.
@@ -255,10 +265,10 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     drop = (
         marked_lines(docs)
         .where("exact or near")
-        .groupBy(F.col("id").alias("id__"))
+        .groupBy(*[F.col(c).alias(f"{c}__") for c in DOC])
         .agg(F.collect_set("at").alias("drop__"))
     )
-    rows = docs.join(drop, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("id__"), "left")
+    rows = docs.join(drop, [own == F.col(f"{c}__") for own, c in zip(_doc(), DOC, strict=True)], "left")
     lines = F.split("text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop__"))
     text = F.when(

@@ -14,9 +14,11 @@ Only components are asked for, so pairs known to be in one component are not com
 Full sets meet in tiles of bounded size: a document travels once to each tile pair that needs it, and a
 tile emits the links of a forest, not all links.
 
-Nulls: texts that are null or without words have an empty set and no links. Rows with a null id count as
-one document after all others. Rows that repeat an id get the same answer; should their texts differ, the
-text whose set has the least digest speaks for them. An empty table gives no rows.
+Nulls: texts that are null or without words have an empty set and no links. A document is a doc_id with a
+text and goes by a hash of the two until the answer is given: rows with a null id, or with one id, are
+documents of their own if their texts differ (null ids after all others, else in the order of that hash),
+and get the same answer if they don't. A component of null ids only has a null component_id, but one row
+of it is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import small, stored, text_or_empty
+from framelens.llm.common import row_key, small, stored, text_or_empty
 from framelens.llm.components import components
 
 SHINGLE = 5
@@ -75,7 +77,7 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """id, set size, digest of the set and signature of every row."""
+    """id, doc_id, set size, digest of the set and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,15 +88,21 @@ def signatures(docs: DataFrame) -> DataFrame:
                 keys.append(digest(found) if n[-1] else None)
                 marks.append(signature(found) if n[-1] else None)
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())],
-                ["id", "n_shingles", "set_key", "signature"],
+                [batch["id"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())],
+                ["id", "doc_id", "n_shingles", "set_key", "signature"],
             )
 
-    return _with_id(docs).mapInArrow(run, "id long, n_shingles long, set_key binary, signature binary")
+    return _with_id(docs).mapInArrow(run, "id long, doc_id long, n_shingles long, set_key binary, signature binary")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty())
+    """The documents under `id`, the hash by which they go."""
+    return docs.select(row_key().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty())
+
+
+def _rank() -> Column:
+    """What the least document of several has the least of."""
+    return F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("order"), "id", "doc_id")
 
 
 def chunk_keys(reps: DataFrame) -> DataFrame:
@@ -279,12 +287,11 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """id, doc_id, n_shingles, component_id and kept of every row."""
     rows = stored(signatures(docs), "signatures")
-    one = rows.where("n_shingles > 0").groupBy("id").agg(F.min(F.struct("set_key", "signature")).alias("s"))
-    sets = one.groupBy("s.set_key").agg(F.min(F.struct("id", "s.signature")).alias("first"))
-    reps = stored(sets.select("set_key", "first.*"), "sets")
+    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(_rank().alias("rank"), "signature")).alias("first"))
+    reps = stored(sets.select("set_key", "first.rank.id", "first.rank.doc_id", "first.signature"), "sets")
 
     bucket = Window.partitionBy("key")
     members = stored(
@@ -311,19 +318,31 @@ def near_components(docs: DataFrame) -> DataFrame:
     more = confirmed(docs, stored(near_pairs(left), "pairs"))
     final = components(links.unionByName(more))
 
-    named = rows.join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").join(
-        final, F.col("rep") == F.col("node"), "left"
+    # The least document of each component, by which it is named.
+    final = final.unionByName(final.select(F.col("label").alias("node"), "label").distinct())
+    ranked = final.join(reps.select(F.col("id").alias("node"), _rank().alias("rank")), "node")
+    least = ranked.groupBy("label").agg(F.min("rank").alias("least"))
+    heads = final.join(least, "label").select("node", "least")
+    named = rows.join(reps.select("set_key", F.col("id").alias("rep"), _rank().alias("rank")), "set_key", "left").join(
+        heads, F.col("rep") == F.col("node"), "left"
     )
-    component = F.coalesce("label", "rep", "id")
-    return named.select(
-        F.nullif("id", F.lit(NO_ID)).alias("doc_id"),
+    head = F.coalesce("least", "rank", _rank())
+    return named.select("id", "doc_id", "n_shingles", head.alias("head")).select(
+        "id",
+        "doc_id",
         "n_shingles",
-        F.nullif(component, F.lit(NO_ID)).alias("component_id"),
-        (F.col("id") == component).alias("kept"),
+        F.col("head.doc_id").alias("component_id"),
+        (F.col("id") == F.col("head.id")).alias("kept"),
     )
 
 
+def near_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row."""
+    return _judged(docs).drop("id")
+
+
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, one of each component: that with the least id."""
-    gone = near_components(docs).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_"), "left_anti")
+    gone = _judged(docs).where("not kept").select(F.col("id").alias("gone_"), F.col("doc_id").alias("gone_doc_")).distinct()
+    same = (row_key() == F.col("gone_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_"))
+    return docs.join(gone, same, "left_anti")

@@ -234,6 +234,26 @@ def test_lines_of_odd_rows(spark, odd, empty):
     assert not line_dedup.line_report(empty).collect()
 
 
+def test_rows_of_one_id_or_none_are_documents_of_their_own(spark):
+    said, other, third = ("a line that stands in two documents", "a line in one place alone, the 2nd", "quite another line of text here")
+    rows = [(1, said), (None, said + "\n" + other), (None, third), (None, "no more of this line anywhere"), (5, said), (5, "x" * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(1, said), (None, other), (None, third), (None, rows[3][1]), (5, "x" * 30)}
+    assert {(r.doc_id, r.text) for r in line_dedup.without_repeated_lines(df).collect()} == kept
+    assert sorted((r.doc_id or 0, r.n_lines, r.dropped_lines) for r in line_dedup.line_report(df).collect()) == [
+        (0, 1, []), (0, 1, []), (0, 2, [0]), (1, 1, []), (5, 1, []), (5, 1, [0]),
+    ]
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    near = [(None, a), (None, a + " z"), (None, b), (7, c), (7, d), (8, d + " z"), (None, c), (None, ""), (None, None)]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in near_dedup.without_near_copies(df).collect()]
+    assert sum(text in (a, a + " z") for _, text in left) == 1
+    assert {x for x in left if x[1] not in (a, a + " z")} == {(None, b), (7, c), (7, d), (None, ""), (None, None)}
+    got = near_dedup.near_components(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id) == [(7, 7, True), (7, 7, True), (8, 7, False)]
+    assert sorted((r.component_id or 0, r.kept) for r in got if not r.doc_id) == [(0, False), *[(0, True)] * 4, (7, False)]
+
+
 def test_near_components_against_all_pairs(spark, empty):
     rng, rows = random.Random(3), []
     base = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(60)]
