@@ -18,6 +18,7 @@ from framelens.llm import (
     quality,
     token_counts,
     token_store,
+    vector_codes,
     warc,
 )
 from framelens.llm.common import read, shared_folder
@@ -85,6 +86,10 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_limb_split_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_codec,
         op9_token_counts,
         op10_quality_votes,
+        op13_limb_split_codes,
     )
 }
 SQL: dict[str, str] = {name: ORACLES[name] for name in QUERIES if name in ORACLES}

@@ -1,5 +1,51 @@
 """SQL twins of the queries that SQL can express, for DuckDB."""
 
+WHOLE = """whole as (
+  select vec_id, label, embedding from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)"""
+
+
+def _codes() -> str:
+    """Four rounds of assigning and averaging, then the codes."""
+    steps = [
+        WHOLE,
+        """parts as (
+  select vec_id, p, list_transform(
+    embedding[p * (len(embedding) // 4) + 1 : (p + 1) * (len(embedding) // 4)], lambda x: floor(x::double * 1024)::bigint
+  ) as v
+  from whole, range(4) t(p)
+)""",
+        """book0 as (
+  select p, row_number() over (partition by p order by vec_id) - 1 as e, v from parts qualify e < 256
+)""",
+    ]
+    for i in range(5):
+        # Of the least distances, the least entry.
+        steps.append(f"""near{i} as materialized (
+  select vec_id, p, min(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * 256 + e) as best
+  from parts a join book{i} b using (p) group by vec_id, p
+)""")
+        if i < 4:
+            steps.append(f"""book{i + 1} as materialized (
+  select b.p, b.e, coalesce(m.v, b.v) as v
+  from book{i} b left join (
+    select p, e, list(mean order by i) as v from (
+      select p, best % 256 as e, i, floor(sum(v[i]) / count(*))::bigint as mean
+      from parts join near{i} using (vec_id, p), range(1, len(v) + 1) t(i) group by p, e, i
+    ) group by p, e
+  ) m using (p, e)
+)""")
+    return f"""with {", ".join(steps)},
+codes as (
+  select vec_id, string_agg(printf('%02x', best % 256), '' order by p) as code, sum(best // 256)::bigint as error
+  from near4 group by vec_id
+)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+       (select sha256(string_agg(array_to_string(v, ','), ',' order by p, e)) from book4) as codebooks_sha256
+from codes join whole using (vec_id)"""
+
+
 ORACLES = {
     "op2_exact_dedup_refined": r"""
 with plain as (
@@ -65,4 +111,5 @@ select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(n_exact, 0) as n_exact,
        (coalesce(length(text), 0) - greatest(coalesce(len(ls), 0) - 1, 0) - coalesce(gone_chars, 0))::bigint as kept_chars,
        coalesce(dropped, []::int[]) as dropped_lines
 from split left join per_doc using (doc_id)""",
+    "op13_limb_split_codes": _codes(),
 }
