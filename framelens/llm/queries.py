@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from framelens.llm import (
     exact_dedup,
+    hard_negatives,
     html_text,
     line_dedup,
     near_dedup,
@@ -86,6 +87,10 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hilbert_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
 def op13_limb_split_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(read(spark, sf_dir, "embeddings"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_codec,
         op9_token_counts,
         op10_quality_votes,
+        op12_hilbert_zone_negatives,
         op13_limb_split_codes,
     )
 }

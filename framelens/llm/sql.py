@@ -111,5 +111,26 @@ select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(n_exact, 0) as n_exact,
        (coalesce(length(text), 0) - greatest(coalesce(len(ls), 0) - 1, 0) - coalesce(gone_chars, 0))::bigint as kept_chars,
        coalesce(dropped, []::int[]) as dropped_lines
 from split left join per_doc using (doc_id)""",
+    "op12_hilbert_zone_negatives": f"""with {WHOLE},
+items as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v
+  from whole where label is not null
+),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint as score
+  from items a join items b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id,
+       row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5""",
     "op13_limb_split_codes": _codes(),
 }

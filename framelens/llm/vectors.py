@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EXACT = 53  # bits of a float64 that count whole numbers
-LIMIT = 1 << 26  # of components, so that distances and products of some thousand of them fit in 64 bits
+LIMIT = 1 << 24  # of components, so that distances and products of some thousand of them fit in 64 bits
 NO_ID = (1 << 63) - 1
 
 
@@ -41,7 +41,7 @@ def floors(vectors: pa.Array, dims: int, scale: int) -> np.ndarray:
     found = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
     if found.size and np.abs(found).max() >= LIMIT:
         raise ValueError(f"components beyond {LIMIT / scale:g} are not supported")
-    return found.astype(np.int64).reshape(-1, dims)
+    return found.astype(np.int64).reshape(len(vectors), dims)
 
 
 def limbs(x: np.ndarray, bits: int) -> list[np.ndarray]:
