@@ -15,6 +15,7 @@ from framelens.llm import (
     line_dedup,
     near_dedup,
     packing,
+    phrase_index,
     piece_codec,
     quality,
     token_counts,
@@ -87,6 +88,11 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "index")
+    return phrase_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), path)
+
+
 def op12_hilbert_zone_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_piece_codec,
         op9_token_counts,
         op10_quality_votes,
+        op11_phrase_index,
         op12_hilbert_zone_negatives,
         op13_limb_split_codes,
     )

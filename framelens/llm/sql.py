@@ -111,6 +111,37 @@ select doc_id, coalesce(len(ls), 0) as n_lines, coalesce(n_exact, 0) as n_exact,
        (coalesce(length(text), 0) - greatest(coalesce(len(ls), 0) - 1, 0) - coalesce(gone_chars, 0))::bigint as kept_chars,
        coalesce(dropped, []::int[]) as dropped_lines
 from split left join per_doc using (doc_id)""",
+    "op11_phrase_index": r"""
+with docs as (
+  select row_number() over () as d, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from documents
+),
+items as (
+  select item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+  from benchmark
+),
+wins as (
+  select distinct item_id, least(len(ws), 10) as w, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') as phrase
+  from (select *, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) as i from items where len(ws) > 0)
+),
+widths as (select distinct w from wins),
+places as (
+  select d, w, i, array_to_string(ws[i : i + w - 1], ' ') as phrase
+  from (select d, w, ws, unnest(range(1, len(ws) - w + 2)) as i from docs, widths)
+),
+found as (select d, w, i, item_id from places join wins using (w, phrase)),
+hits as (select d, count(distinct p) as n_hit from (select d, unnest(range(i, i + w)) as p from found) group by d),
+named as (
+  select d, count(*) as n_items, string_agg(name, ',' order by name) as names
+  from (select distinct d, coalesce(item_id::varchar, '') as name from found) group by d
+)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, n_hit is not null as contaminated
+from docs left join hits using (d) left join named using (d)""",
     "op12_hilbert_zone_negatives": f"""with {WHOLE},
 items as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
