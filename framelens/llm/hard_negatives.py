@@ -10,7 +10,7 @@ anchor only if this interval meets what is looked for:
   lower bound that decides which other blocks are read;
 - negatives: the blocks whose interval meets one of the anchor's windows [80 % of a positive's score, its score].
 
-Anchors come in tiles of neighbouring ranges. A unit of work is a tile and a page of zone maps, or a tile
+Anchors come in tiles of neighbouring folders or ranges. A unit of work is a tile and a page of zone maps, or a tile
 and a range of candidates: both bounded at any input size. Nothing but the spread of the dimensions passes
 through the driver. Scores are 64-bit integers by limb-split products (vectors.exact_dot).
 
@@ -35,7 +35,9 @@ from framelens.llm.vectors import NO_ID, exact_dot, floors, id_or_last, lists, w
 SCALE, ANCHOR_STEP, MOVED_STEP, LABELS = 256, 100, 7, 10
 POSITIVES, NEGATIVES = 5, 5
 LOW_SHARE, HIGH_SHARE = 4, 5  # 80 and 100 per cent
-FOLDER_ROWS, RANGE_ROWS, BLOCK_ROWS, RANGES_PER_TILE, ZONES_PER_PAGE, PROBES = 1 << 19, 1 << 13, 1 << 9, 16, 4_096, 2
+FOLDER_ROWS, RANGE_ROWS, BLOCK_ROWS, ZONES_PER_PAGE, PROBES = 1 << 19, 1 << 13, 1 << 9, 4_096, 2
+ANCHORS_PER_TILE, RANGES_PER_TILE = 8_192, 16
+FOLDER = 1 << 20  # ranges are numbered within a folder, from this multiple of its number
 BLOCK = ["folder", "range", "block"]
 BITS = 3  # of a dimension's place on the curve
 # Up to so many rows (about 32 MB) of a list of blocks are sent to all executors.
@@ -134,7 +136,7 @@ def write_blocks(rows: DataFrame, dims: int, path: str) -> None:
     # Unlike a window, counts in the order the rows are in.
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     placed = dealt.select(F.spark_partition_id().alias("folder"), within.alias("at"), "vec_id", "label", "vec")
-    range_ = (F.col("folder").cast("long") * (1 << 20) + F.floor(F.col("at") / RANGE_ROWS)).alias("range")
+    range_ = (F.col("folder").cast("long") * FOLDER + F.floor(F.col("at") / RANGE_ROWS)).alias("range")
     placed.select("folder", range_, F.floor(F.col("at") / BLOCK_ROWS).alias("block"), "vec_id", "label", "vec").write.partitionBy(
         "folder"
     ).parquet(path)
@@ -168,6 +170,18 @@ def bounds(a: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray
     return exact_dot(up, low) + exact_dot(down, high), exact_dot(up, high) + exact_dot(down, low)
 
 
+def _tiles(anchors: DataFrame) -> DataFrame:
+    """Per folder, the tile of its anchors: neighbouring folders share one up to ANCHORS_PER_TILE; a folder with more has several."""
+    counts = anchors.groupBy("folder").agg(F.count("*").alias("n"))
+    # One row a folder.
+    before = F.sum("n").over(Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, -1))
+    number = F.floor(F.coalesce(before, F.lit(0)) / ANCHORS_PER_TILE)
+    crowded = F.col("n") > ANCHORS_PER_TILE
+    # Crowded folders count from their own number, which no other tile has.
+    first = F.when(crowded, -(F.col("folder") + 1) * FOLDER).otherwise(number)
+    return counts.select("folder", first.cast("long").alias("first"), crowded.alias("crowded"))
+
+
 class Search:
     """The stored blocks, their zone maps and the anchors, and one pass over the blocks that are chosen."""
 
@@ -176,9 +190,14 @@ class Search:
         layout = "range long, block long, vec_id long, label long, vec array<int>, folder int"
         self.blocks = spark.read.schema(layout).parquet(path)
         zones = stored(zone_maps(self.blocks, dims), "zones")
-        tile = F.floor(F.col("range") / RANGES_PER_TILE).cast("long").alias("tile")
         picked = self.blocks.where((F.col("vec_id") % ANCHOR_STEP == 0) & (F.col("vec_id") != NO_ID))
-        numbered = picked.select(tile, F.monotonically_increasing_id().alias("anchor"), "vec_id", "label", "vec")
+        numbered = picked.join(small(stored(_tiles(picked), "tiles"), MANY), "folder").select(
+            (F.col("first") + F.when(F.col("crowded"), F.floor(F.col("range") % FOLDER / RANGES_PER_TILE)).otherwise(0)).alias("tile"),
+            F.monotonically_increasing_id().alias("anchor"),
+            "vec_id",
+            "label",
+            "vec",
+        )
         self.anchors = stored(numbered, "anchors")
         pages = 1 + zones.count() // ZONES_PER_PAGE
         tiles = self.anchors.select("tile").distinct()
