@@ -3,13 +3,20 @@
 A window opens at a packet more than ``window_us`` after the packet that opened the window before
 it, so where a window starts depends on all packets before it. Cut into chunks this becomes: what
 is the last anchor of a chunk, given the last anchor before it? Later entries never give earlier
-exits and paths merge, so the answer is a short step function per chunk. Three steps follow:
+exits, so the answer is a step function per chunk, with at most as many steps as the chunk has
+different times in its first window. Step functions of neighbours compose to one of their union,
+which gives a tree over the chunks of a trace:
 
 1. per chunk, in parallel: the step function, by pointer doubling over the sorted times;
-2. per trace, over one small row per chunk: the anchor each chunk is entered with;
-3. per chunk, in parallel: the anchors, now that the entry is known.
+2. upwards, level by level: functions of neighbouring chunks are composed, until the functions of
+   a trace fit one group; no group takes more than 1.5 times ``STEPS_PER_GROUP`` steps, or three
+   functions where single ones are larger than that allows;
+3. downwards: the anchor each node, then each chunk, is entered with;
+4. per chunk, in parallel: the anchors, now that the entry is known.
 
-Packets are then placed by comparing their time with the few anchors of their chunk.
+Where the longest trace is known to have at most ``STEPS_PER_GROUP`` rows, its functions fit one
+group to begin with and no tree is built. Packets are then placed by comparing their time with the
+few anchors of their chunk.
 """
 
 from __future__ import annotations
@@ -20,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelens.functions import SECOND_US, second_of
-from framelens.operators.chunks import KEYS, after_chunk, before_chunk
+from framelens.operators.chunks import KEYS, after_chunk, before_chunk, longest_trace
+from framelens.session import cut_lineage
 
 # After the two key columns, whose types follow the packets.
 STEPS = "limits array<bigint>, exits array<bigint>"
@@ -29,7 +37,10 @@ ANCHORS = (
     "entry bigint, last_epoch bigint, "
     "anchors array<struct<t_us:bigint,pkt_ord:bigint,epoch_us:bigint>>"
 )
-
+# 64 MB of limits and exits.
+STEPS_PER_GROUP = 4_000_000
+FUNCTIONS_PER_GROUP = 4_096
+BEFORE_ALL = -(1 << 62)
 
 INTS = pa.list_(pa.int64())
 
@@ -81,6 +92,113 @@ def chunk_anchors(times: np.ndarray, entry: int | None, window_us: int) -> list[
     return found
 
 
+def composed(
+    functions: list[tuple[np.ndarray, np.ndarray]], window_us: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of neighbouring chunks, out of theirs in time order."""
+    limits, exits = functions[0]
+    for further, last in functions[1:]:
+        at = np.searchsorted(further, exits + window_us, side="right")
+        moved = np.where(at < len(further), last[np.minimum(at, len(further) - 1)], exits)
+        limits, exits = np.concatenate([limits, further]), np.concatenate([moved, last])
+        # The window open at entry began before the first time, so it ends before this.
+        reach = np.searchsorted(limits, limits[0] + window_us, side="left") + 1
+        limits, exits = limits[:reach], exits[:reach]
+        ends = np.append(np.flatnonzero(np.diff(exits)), len(exits) - 1)
+        limits, exits = limits[ends], exits[ends]
+    return limits, exits
+
+
+def entered_with(
+    functions: list[tuple[np.ndarray, np.ndarray]], anchor: int | None, window_us: int
+) -> list[int | None]:
+    """The anchor open at entry of each of neighbouring chunks, given that of the first."""
+    entered = []
+    for limits, exits in functions:
+        entered.append(anchor)
+        reach = BEFORE_ALL if anchor is None else anchor + window_us
+        at = int(np.searchsorted(limits, reach, side="right"))
+        if at < len(limits):
+            anchor = int(exits[at])
+    return entered
+
+
+def _functions(rows: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return list(zip(_lists(rows["limits"]), _lists(rows["exits"])))
+
+
+def with_nodes(functions: DataFrame, budget: int) -> DataFrame:
+    """The functions with ``node``, the number of the stretch of neighbours they are composed in.
+
+    Numbers come from running sums over one narrow row per chunk; the steps are joined on after.
+    """
+    weight = F.greatest(F.size("limits"), F.lit(max(1, budget // FUNCTIONS_PER_GROUP)))
+    slim = functions.select(*KEYS, weight.cast("bigint").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(before_chunk()), F.lit(0))
+    nodes = slim.select(*KEYS, F.floor(before / F.lit(budget)).cast("bigint").alias("node"))
+    return functions.join(nodes, KEYS)
+
+
+def _sizes(functions: DataFrame) -> tuple[int, int, int]:
+    """The most steps and functions of a trace, and the most steps of a function."""
+    n = F.size("limits")
+    per_trace = functions.groupBy("trace_id").agg(
+        F.sum(n).alias("steps"), F.count(F.lit(1)).alias("rows"), F.max(n).alias("largest")
+    )
+    found = per_trace.agg(F.max("steps"), F.max("rows"), F.max("largest")).first()
+    return tuple(v or 0 for v in found)
+
+
+def chunk_entries(functions: DataFrame, window_us: int, whole: bool) -> DataFrame:
+    """(trace_id, chunk, entry): the anchor each chunk is entered with, null at the trace start.
+
+    ``whole``: the functions of every trace are known to fit one group.
+    """
+    types = dict(functions.dtypes)
+    keyed = f"trace_id {types['trace_id']}, chunk bigint, "
+
+    def entries(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        found = entered_with(_functions(rows), None, window_us)
+        return rows.select(KEYS).append_column("entry", pa.array(found, pa.int64()))
+
+    def up(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        limits, exits = composed(_functions(rows), window_us)
+        head = rows.select(["trace_id", "node"]).slice(0, 1).rename_columns(KEYS)
+        return head.append_column("limits", pa.array([limits], INTS)).append_column(
+            "exits", pa.array([exits], INTS)
+        )
+
+    def down(rows: pa.Table, node: pa.Table) -> pa.Table:
+        rows = rows.sort_by("chunk")
+        found = entered_with(_functions(rows), node["entry"][0].as_py(), window_us)
+        return rows.select(KEYS).append_column("entry", pa.array(found, pa.int64()))
+
+    levels = []
+    if not whole:
+        functions = cut_lineage(functions)
+        while True:
+            steps, rows, largest = _sizes(functions)
+            if steps <= STEPS_PER_GROUP and rows <= FUNCTIONS_PER_GROUP:
+                break
+            # At least two functions to a node, so that every level is half the one below.
+            levels.append(with_nodes(functions, max(STEPS_PER_GROUP, 2 * largest)))
+            nodes = levels[-1].groupBy("trace_id", "node").applyInArrow(up, keyed + STEPS)
+            functions = cut_lineage(nodes)
+            if _sizes(functions)[1] == 1:
+                break
+    entered = functions.groupBy("trace_id").applyInArrow(entries, keyed + ENTRIES)
+    for level in reversed(levels):
+        parents = entered.select("trace_id", F.col("chunk").alias("node"), "entry")
+        entered = (
+            level.groupBy("trace_id", "node")
+            .cogroup(parents.groupBy("trace_id", "node"))
+            .applyInArrow(down, keyed + ENTRIES)
+        )
+    return entered
+
+
 def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
     """One row per chunk: its anchors and how intervals continue over its borders.
 
@@ -95,18 +213,6 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
         limits, exits = chunk_steps(np.unique(rows["t_us"].to_numpy()), window_us)
         return _row(rows, limits=pa.array([limits], INTS), exits=pa.array([exits], INTS))
 
-    def entries(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("chunk")
-        entered, anchor = [], None
-        limits, exits = _lists(rows["limits"]), _lists(rows["exits"])
-        for limit, exit_ in zip(limits, exits):
-            entered.append(anchor)
-            reach = -1 if anchor is None else anchor + window_us
-            at = int(np.searchsorted(limit, reach, side="right"))
-            if at < len(limit):
-                anchor = int(exit_[at])
-        return rows.select(KEYS).append_column("entry", pa.array(entered, pa.int64()))
-
     def anchors(rows: pa.Table, entry: pa.Table) -> pa.Table:
         t, n, e = (rows[c].to_numpy() for c in ("t_us", "pkt_ord", "epoch_us"))
         order = np.lexsort((n, t))
@@ -124,10 +230,11 @@ def anchor_table(packets: DataFrame, window_us: int = SECOND_US) -> DataFrame:
         )
 
     per_chunk = times.groupBy(*KEYS)
-    entered = (
-        per_chunk.applyInArrow(steps, keyed + STEPS)
-        .groupBy("trace_id")
-        .applyInArrow(entries, keyed + ENTRIES)
+    longest = longest_trace(packets)
+    entered = chunk_entries(
+        per_chunk.applyInArrow(steps, keyed + STEPS),
+        window_us,
+        whole=longest is not None and longest <= STEPS_PER_GROUP,
     )
     found = per_chunk.cogroup(entered.groupBy(*KEYS)).applyInArrow(anchors, keyed + ANCHORS)
     first_here = F.get("anchors", F.lit(0))["epoch_us"]

@@ -1,6 +1,8 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import check, duck
@@ -83,25 +85,49 @@ def test_vectors_are_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_widths_shrink_with_density(spark):
+def test_crowded_stretches_are_cut_by_counts(spark):
     from framelens.operators import chunks
 
-    # A third of all rows in one dense trace, half of them in a burst.
+    # A third of all rows in one dense trace, half of them at nearly one time, and a burst at one time.
     calm = spark.range(30_000).selectExpr("1L as trace_id", "id * 20 as t_us", "id as pkt_ord")
     burst = spark.range(30_000).selectExpr("1L as trace_id", "600000 + id as t_us", "id as pkt_ord")
+    once = spark.range(50_000).selectExpr("1L as trace_id", "700000L as t_us", "id as pkt_ord")
     thin = spark.range(120_000).selectExpr(
         "2 + id % 400 as trace_id", "id * 1000 as t_us", "id as pkt_ord"
     )
-    rows = calm.unionByName(burst).unionByName(thin)
-    span, dense = chunks.fit_spans(rows, rows_per_chunk=2_000)
-    assert span == chunks.MAX_CHUNK_US and set(dense) == {1}
-    sizes = chunks.assign_chunks(rows, rows_per_chunk=2_000).groupBy("trace_id", "chunk").count()
-    assert sizes.agg({"count": "max"}).first()[0] <= 2_000
+    rows = calm.unionByName(burst).unionByName(once).unionByName(thin)
+    cut = chunks.assign_chunks(rows, rows_per_chunk=2_000).persist()
+    sizes = cut.groupBy("trace_id", "chunk").count()
+    assert cut.count() == 230_000
+    assert sizes.where("trace_id = 1").agg({"count": "max"}).first()[0] <= 2_000
+    assert sizes.where("trace_id = 1").count() < 600
     assert sizes.where("trace_id = 2").count() == 4, "ordinary traces keep wide chunks"
-    # Too many dense traces to name: one width for all.
-    span, dense = chunks.fit_spans(rows, rows_per_chunk=2_000, max_dense=0)
-    assert span < 2_001 and not dense
-    assert chunks.fit_spans(rows.limit(0)) == (chunks.MAX_CHUNK_US, {})
+    assert chunks.longest_trace(cut.where("pkt_ord > 5")) == 110_000
+    # Chunks are runs of the trace in time and packet order.
+    ends = cut.groupBy("trace_id", "chunk").agg(
+        F.min(F.struct("t_us", "pkt_ord")).alias("first"), F.max(F.struct("t_us", "pkt_ord")).alias("last")
+    )
+    before = F.lag("last").over(Window.partitionBy("trace_id").orderBy("chunk"))
+    assert ends.withColumn("before", before).where("before >= first").isEmpty()
+    empty = chunks.assign_chunks(rows.limit(0))
+    assert empty.isEmpty() and chunks.longest_trace(empty) == 0
+    cut.unpersist()
+
+
+def test_a_burst_on_one_time_gives_the_same_frames(spark):
+    from framelens.operators import chunks, frames
+
+    rows = spark.range(500_000).selectExpr(
+        "1L as trace_id", "'meet' as vca", "id as pkt_ord", "5L as t_us", "5L as epoch_us",
+        "400 + (id * id) % 7 * 3 as length",
+    )
+    cut = chunks.assign_chunks(rows)
+    assert cut.select("chunk").distinct().count() > 3
+    ends = [
+        frames.assign_frames(p).agg(F.max("frame_num"), F.sum(F.col("frame_num") % 1009)).first()
+        for p in (cut, chunks.assign_chunks(rows, span_us=10))
+    ]
+    assert ends[0] == ends[1]
 
 
 def test_dense_trace_gives_the_same_result(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import loops
+from framelens.operators import windows
 from framelens.operators.windows import assign_windows, chunk_anchors, chunk_steps
 
 GOLDEN = [0, 400_000, 1_000_000, 1_100_000, 2_050_000, 2_200_000, 3_300_000]
@@ -84,3 +85,59 @@ def test_chunk_summary_is_short():
     times = np.unique(np.cumsum(rng.integers(1, 4000, 15_000)))
     limits, _ = chunk_steps(times, 1_000_000)
     assert len(limits) < len(times) / 50
+
+
+def cuts_of(rng, times):
+    """Times in neighbouring pieces; a time may lie on both sides of a cut."""
+    at = sorted({0, len(times), *(rng.randrange(len(times)) for _ in range(5))})
+    return [times[a - (a > 0 and rng.random() < 0.3) : b] for a, b in zip(at, at[1:])]
+
+
+def test_composed_functions_equal_a_walk():
+    rng = random.Random(6)
+    for _ in range(60):
+        window = rng.choice([1, 30, 100, 2_000, 9_000])
+        times = np.unique([rng.randrange(0, 5000) for _ in range(rng.randrange(1, 200))])
+        pieces = cuts_of(rng, times)
+        functions = [chunk_steps(p, window) for p in pieces]
+        limits, exits = windows.composed(functions, window)
+        assert (np.diff(limits) > 0).all() and len(limits) <= min(len(times), window + 2)
+        for entry in [None, *range(-window - 50, int(times[0]), max(1, window // 40))]:
+            walk = chunk_anchors(times, entry, window)
+            reach = windows.BEFORE_ALL if entry is None else entry + window
+            at = int(np.searchsorted(limits, reach, side="right"))
+            assert (int(exits[at]) if at < len(limits) else None) == (int(times[walk[-1]]) if walk else None)
+            # What every piece is entered with.
+            last, found = entry, windows.entered_with(functions, entry, window)
+            for piece, mine in zip(pieces, found):
+                assert mine == last
+                own = chunk_anchors(piece, last, window)
+                last = int(piece[own[-1]]) if own else last
+
+
+@pytest.mark.parametrize("budget,span,window", [(4, 9_000, 1_000_000), (40, 150_000, 1_000_000), (60, 400_000, 100_000)])
+def test_tree_against_loop(make_packets, monkeypatch, budget, span, window):
+    monkeypatch.setattr(windows, "STEPS_PER_GROUP", budget)
+    monkeypatch.setattr(windows, "FUNCTIONS_PER_GROUP", 4)
+    rng = random.Random(budget)
+    times = {k: random_times(rng, n, 40_000) for k, n in ((1, 400), (2, 30), (3, 1))}
+    rows = [{"trace_id": k, "t_us": t, "pkt_ord": i} for k, ts in times.items() for i, t in enumerate(ts)]
+    got = assign_windows(make_packets(rows, span), window).orderBy("trace_id", "pkt_ord").collect()
+    for k, ts in times.items():
+        assert [r["interval"] for r in got if r["trace_id"] == k] == loops.intervals(ts, window)
+
+
+def test_groups_of_the_tree_are_bounded(spark):
+    """A dense trace with windows far wider than its chunks: all times are steps of some chunk."""
+    rows = [(1, c, list(range(c * 50, c * 50 + n)), [0] * n) for c in range(300) for n in (50 if c % 3 else 1,)]
+    functions = spark.createDataFrame(rows, "trace_id bigint, chunk bigint, limits array<bigint>, exits array<bigint>")
+    budget = 200
+    sizes = (
+        windows.with_nodes(functions, budget)
+        .selectExpr("node", "chunk", "size(limits) as n")
+        .groupBy("node")
+        .agg({"n": "sum", "chunk": "count"})
+        .collect()
+    )
+    assert len(sizes) > 10 and sum(r["sum(n)"] for r in sizes) == 10_100
+    assert max(r["sum(n)"] for r in sizes) <= budget * 3 // 2
