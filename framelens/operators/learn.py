@@ -103,6 +103,8 @@ def fit_many(tasks: dict, metric: str, parallelism: int = 3, **options) -> dict:
         key, train = item
         return key, fit(train, metric, **options)
 
+    if not tasks:
+        return {}
     with ThreadPool(max(1, min(parallelism, len(tasks)))) as pool:
         done = pool.map(inheritable_thread_target(spark)(one), list(tasks.items()))
     return {key: model for key, model in done if model is not None}

@@ -13,6 +13,7 @@ from framelens.operators import errors, features, heuristics, learn, splits
 from framelens.operators.validate import valid_traces, validate
 from framelens.sources import tables
 from framelens.sources.catalog import trial_id
+from framelens.session import path_exists
 
 METHODS = ["ip-udp-heuristic", "rtp-heuristic", "ip-udp-ml", "rtp-ml"]
 
@@ -22,7 +23,8 @@ class Experiment:
     """Inputs are whole tables; only (metric, method, fold, vca) is looped over on the driver.
 
     ``out`` receives features, folds, predictions, models, importances and run_metrics. Features
-    and heuristic estimates are written once and read back, so no fit repeats their plan.
+    and heuristic estimates are written once and read back, so no fit repeats their plan. With
+    ``resume`` whatever ``out`` already holds in full is kept, and the run goes on from there.
     """
 
     packets: DataFrame
@@ -37,6 +39,10 @@ class Experiment:
     folds: int = 5
     window_us: int = 1_000_000
     forest: dict = field(default_factory=dict)
+    resume: bool = False
+
+    def _has(self, path: str) -> bool:
+        return self.resume and path_exists(self.spark, f"{self.out}/{path}")
 
     @property
     def spark(self):
@@ -48,21 +54,22 @@ class Experiment:
         return splits.kfold(good, self.folds)
 
     def prepare(self, ranges: DataFrame | None = None) -> None:
-        folds = (
-            splits.kfold(self.traces, self.folds)
-            if ranges is None
-            else self.validated_folds(ranges)
-        )
-        folds.write.mode("overwrite").parquet(f"{self.out}/folds")
+        if not self._has("folds/_SUCCESS"):
+            folds = (
+                splits.kfold(self.traces, self.folds)
+                if ranges is None
+                else self.validated_folds(ranges)
+            )
+            folds.write.mode("overwrite").parquet(f"{self.out}/folds")
         for method in self.methods:
-            if method.endswith("-ml"):
+            if method.endswith("-ml") and not self._has(f"features/{method}/_SUCCESS"):
                 rows = self._features(method)
                 # A second without one label still serves the other metrics.
                 labelled = features.join_labels(
                     rows, self.labels, list(self.metrics), every=False
                 )
                 tables.write_features(labelled, f"{self.out}/features/{method}")
-            else:
+            elif not method.endswith("-ml") and not self._has(f"estimates/{method}/_SUCCESS"):
                 self._estimates(method).write.mode("overwrite").parquet(
                     f"{self.out}/estimates/{method}"
                 )
@@ -87,12 +94,14 @@ class Experiment:
         for method in self.methods:
             if method.endswith("-ml"):
                 self._train_and_test(method, folds)
-            else:
+            # One job writes the estimates of all metrics.
+            elif not any(self._has(f"predictions/metric={m}/method={method}") for m in self.metrics):
                 rows = spark.read.parquet(f"{self.out}/estimates/{method}")
                 rows = rows.where(F.col("metric").isin(list(self.metrics)))
                 self._store(rows.join(folds.drop("vca"), "trace_id"))
         predictions = tables.read_predictions(spark, f"{self.out}/predictions")
-        tables.append_run_metrics(self.scores(predictions), f"{self.out}/run_metrics")
+        if not self._has("run_metrics/_SUCCESS"):
+            tables.append_run_metrics(self.scores(predictions), f"{self.out}/run_metrics")
         return predictions
 
     def _train_and_test(self, method: str, folds: DataFrame) -> None:
@@ -100,7 +109,11 @@ class Experiment:
         rows = rows.join(folds.drop("vca"), "trace_id")
         apps = [r["vca"] for r in folds.select("vca").distinct().collect()]
         for metric, fold in product(self.metrics, range(1, self.folds + 1)):
-            of_app = {vca: rows.where(F.col("vca") == vca) for vca in apps}
+            of_app = {
+                vca: rows.where(F.col("vca") == vca)
+                for vca in apps
+                if not self._has(f"predictions/{_partition(metric, method, fold, vca)}")
+            }
             # A forest passes over its input once per level.
             train = {
                 vca: r.where(F.col("fold") != fold).persist() for vca, r in of_app.items()
@@ -130,6 +143,11 @@ class Experiment:
         )
 
 
+def _partition(metric: str, method: str, fold: int, vca: str) -> str:
+    values = zip(tables.PREDICTION_KEYS, (metric, method, fold, vca))
+    return "/".join(f"{key}={value}" for key, value in values)
+
+
 def trial_scores(predictions: DataFrame, subset: str, dataset: str) -> DataFrame:
     """Mean over traces of MAE and accuracy per trial (metric, method, fold) and application."""
     trial = trial_id(

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from framelens.plans import error_queries, model_queries, trace_queries  # noqa: F401
+from framelens.plans import error_queries, model_queries, source_queries, trace_queries  # noqa: F401
 
 
 def load() -> None:

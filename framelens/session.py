@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,18 +51,36 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names, so executor loss costs no recomputation.
+def shared_base(spark: SparkSession) -> str:
+    """The folder driver and executors share, as the session names it.
 
     A temporary folder is used only where the session names none and runs in local mode.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder")
+        folder = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = os.path.join(tempfile.mkdtemp(prefix="spark-"), "checkpoints")
         sc.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def scratch_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the JVM ends."""
+    path = f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder the session names, so executor loss costs no recomputation."""
+    shared_base(df.sparkSession)
     return df.checkpoint(eager=True)

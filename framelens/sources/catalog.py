@@ -10,22 +10,37 @@ REAL_WORLD = ("real_world_data", "hashed_real_world")
 PROFILE = ["th", "th_jitter", "lat", "lat_jitter", "loss"]
 
 
+def plain_path(path="_metadata.file_path") -> Column:
+    """A file's path without scheme and URL escapes, the same from whatever reader lists it."""
+    bare = F.regexp_replace(path, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    # A plus sign is no blank in a path.
+    return F.url_decode(F.regexp_replace(bare, "\\+", "%2B"))
+
+
+def capture_name(path) -> Column:
+    """``<data directory>/<folder>/<file stem>`` of a plain path: the id of a capture or dump.
+
+    It does not depend on where the data directory is mounted.
+    """
+    parts = F.split(path, "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), "\\.[^.]*$", "")
+    return F.concat_ws("/", F.get(parts, F.size(parts) - 3), F.get(parts, F.size(parts) - 2), stem)
+
+
 def _list(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Paths below ``root`` one level deep; file contents are pruned from the scan."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*.{suffix}")
         .load(f"{root}/*")
-        .select("path")
+        .select(plain_path().alias("path"))
     )
     parts = F.split("path", "/")
-    name = F.element_at(parts, -1)
     return files.select(
         "path",
         F.element_at(parts, -2).alias("folder"),
-        name.alias("name"),
-        F.expr(f"substring(element_at(split(path, '/'), -1), 1, "
-               f"length(element_at(split(path, '/'), -1)) - {len(suffix) + 1})").alias("stem"),
+        F.element_at(parts, -1).alias("name"),
+        capture_name("path").alias("id"),
     )
 
 
@@ -50,11 +65,9 @@ def in_lab_traces(spark: SparkSession, root: str) -> DataFrame:
 
 def real_world_traces(spark: SparkSession, root: str) -> DataFrame:
     """One trace per capture with a dump of the same stem in the same device directory."""
-    csv = _list(spark, root, "csv").select(
-        "folder", "stem", "name", F.col("path").alias("csv_path")
-    )
-    dump = _list(spark, root, "json").select("folder", "stem", F.col("path").alias("json_path"))
-    return csv.join(dump, ["folder", "stem"]).select(
+    csv = _list(spark, root, "csv").select("id", "name", F.col("path").alias("csv_path"))
+    dump = _list(spark, root, "json").select("id", F.col("path").alias("json_path"))
+    return csv.join(dump, "id").select(
         capture_app("name").alias("vca"), "csv_path", "json_path"
     )
 
@@ -74,7 +87,7 @@ def trace_catalog(spark: SparkSession, roots: list[str]) -> DataFrame:
             rows.select(
                 F.lit(dataset).alias("dataset"),
                 "vca",
-                F.col("csv_path").alias("trace_id"),
+                capture_name("csv_path").alias("trace_id"),
                 "csv_path",
                 "json_path",
             )

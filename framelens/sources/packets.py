@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelens.operators.chunks import assign_chunks
-from framelens.sources.catalog import IN_LAB, capture_app, experiment_app
+from framelens.sources.catalog import (
+    IN_LAB,
+    capture_app,
+    capture_name,
+    experiment_app,
+    plain_path,
+)
 
 # Capture columns, in file order.
 CAPTURE_COLUMNS = [
@@ -32,15 +38,17 @@ RAW = T.StructType([T.StructField(c, T.StringType()) for c in CAPTURE_COLUMNS])
 def read_raw(spark: SparkSession, path: str, headered: bool = True) -> DataFrame:
     """Capture rows as strings, with ``path``. Files are split, so size does not matter."""
     reader = spark.read.schema(RAW).option("sep", "," if headered else "\t")
-    rows = reader.option("header", headered).option("enforceSchema", True).csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("path"))
+    reader = reader.option("header", headered).option("pathGlobFilter", "*.csv")
+    rows = reader.option("enforceSchema", True).csv(path)
+    return rows.select("*", plain_path().alias("path"))
 
 
 def typed(raw: DataFrame, dataset: str) -> DataFrame:
     """The packet schema. Casts never fail: a bad value becomes null, and ``ip_proto`` stays text
     because lists in it are meaningful. Rows without a time are dropped.
 
-    Files carry no packet number, so equal times are ordered by a hash of the row.
+    Times are kept to the microsecond. What they say below that orders packets of one microsecond;
+    files carry no packet number, so packets equal in that too are ordered by a hash of the row.
     """
 
     def c(name):
@@ -49,6 +57,12 @@ def typed(raw: DataFrame, dataset: str) -> DataFrame:
     def micros(name):
         return F.round(c(name).try_cast("double") * 1e6).cast("bigint")
 
+    nanos = c("frame.time_relative").try_cast("decimal(27,9)") * 1_000_000_000
+    # From 0 to 1000, the rounded microsecond being in the middle.
+    below = F.least(F.greatest(nanos.cast("bigint") - micros("frame.time_relative") * 1000 + 500, F.lit(0)), F.lit(1000))
+    row_hash = F.xxhash64(*[c(n) for n in CAPTURE_COLUMNS]).bitwiseAND(F.lit((1 << 53) - 1))
+    order = F.coalesce(below, F.lit(500)).cast("bigint") * (1 << 53) + row_hash
+
     parts = F.split("path", "/")
     vca = (
         experiment_app(F.element_at(parts, -2))
@@ -58,9 +72,9 @@ def typed(raw: DataFrame, dataset: str) -> DataFrame:
     first = F.get(F.split(c("udp.length"), ","), F.lit(0))
     return raw.select(
         F.lit(dataset).alias("dataset"),
-        F.col("path").alias("trace_id"),
+        capture_name("path").alias("trace_id"),
         vca.alias("vca"),
-        F.xxhash64(*[c(n) for n in CAPTURE_COLUMNS]).alias("pkt_ord"),
+        order.alias("pkt_ord"),
         micros("frame.time_relative").alias("t_us"),
         micros("frame.time_epoch").alias("epoch_us"),
         c("ip.src").alias("ip_src"),
