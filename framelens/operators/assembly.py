@@ -8,9 +8,9 @@ from pyspark.sql.window import Window
 
 from framelens.functions import idiv, second_after, second_of
 from framelens.operators import clean
-from framelens.operators.chunks import KEYS, in_chunk, total_before, whole_trace, with_previous
+from framelens.operators.chunks import KEYS, in_chunk, total_before, with_previous
 from framelens.operators.ranks import ecdf, quantiles
-from framelens.sources.settings import SIZE_TOLERANCE
+from framelens.sources.settings import SIZE_TOLERANCE, THROUGHPUT_BYTES, VIDEO_BYTES
 
 
 def coalesce_rates(assigned: DataFrame, keys=("trace_id", "vca")) -> DataFrame:
@@ -124,6 +124,7 @@ def rtp_frame_sizes(packets: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_pkts"),
             F.max("length").alias("max_size"),
             F.min("length").alias("min_size"),
+            F.avg("length").alias("mean_size"),
         )
         .withColumn("size_range", F.col("max_size") - F.col("min_size"))
         .withColumn("chunk", idiv("rtp_ts", CHUNK_TICKS))
@@ -131,18 +132,23 @@ def rtp_frame_sizes(packets: DataFrame) -> DataFrame:
 
 
 def size_range_summary(sizes: DataFrame) -> DataFrame:
-    """Per application: 96th percentile of the range; shares of equal, near-equal, short frames."""
+    """Per application: 96th percentile of the range and of the packets of a frame; shares of equal,
+    near-equal and short frames; mean of the frames' mean packet sizes."""
     shares = sizes.groupBy("vca").agg(
         F.avg((F.col("size_range") <= 2).cast("int")).alias("within_2"),
         F.avg((F.col("size_range") == 0).cast("int")).alias("equal"),
         F.avg((F.col("n_pkts") < 4).cast("int")).alias("under_4_pkts"),
+        F.avg("mean_size").alias("mean_size"),
         F.count(F.lit(1)).alias("n_frames"),
     )
-    return shares.join(quantiles(sizes, ["vca"], "size_range", {"p96": 0.96}), "vca")
+    for value, name in (("size_range", "p96"), ("n_pkts", "p96_pkts")):
+        shares = shares.join(quantiles(sizes, ["vca"], value, {name: 0.96}), "vca")
+    return shares
 
 
 def inter_frame_difference(sizes: DataFrame) -> DataFrame:
-    """Per RTP frame, the larger distance of its size range to that of the frame before."""
+    """Per RTP frame but a trace's first: its own size range, and the larger distance of that to the
+    range of the frame before."""
     seen = with_previous(
         sizes.select("trace_id", "vca", "chunk", "rtp_ts", "min_size", "max_size"),
         ["min_size", "max_size"],
@@ -154,6 +160,7 @@ def inter_frame_difference(sizes: DataFrame) -> DataFrame:
         "trace_id",
         "vca",
         "rtp_ts",
+        (F.col("max_size") - F.col("min_size")).alias("intra_diff"),
         F.greatest(
             F.abs(F.col("min_size") - before["max_size"]),
             F.abs(F.col("max_size") - before["min_size"]),
@@ -179,28 +186,30 @@ def frame_trace(assigned: DataFrame, trace_id, second: int) -> DataFrame:
     )
 
 
-def media_confusion(packets: DataFrame, ptypes: DataFrame) -> DataFrame:
-    """Video by payload type against video by size: counts and row percentages."""
-    flagged = clean.mark_video(clean.with_role(packets, ptypes)).select(
-        "vca",
-        F.when(F.col("role") == "video", 1).otherwise(0).alias("is_video"),
-        "is_video_pred",
-    )
+def media_flags(flow: DataFrame, ptypes: DataFrame, over: int = VIDEO_BYTES) -> DataFrame:
+    """``is_video`` by RTP header (a video or retransmission type, above the size threshold) and
+    ``is_video_pred`` by size alone, for the packets of ``clean.received_flow``."""
+    typed = clean.with_role(clean.normal_payload_type(flow), ptypes)
+    truth = F.col("ssrc").isNotNull() & F.col("role").isNotNull() & (F.col("length") > over)
+    return clean.mark_video(typed, over).withColumn("is_video", truth.cast("int"))
+
+
+def media_confusion(flow: DataFrame, ptypes: DataFrame) -> DataFrame:
+    """Video by RTP header against video by size: counts and row percentages."""
+    flagged = media_flags(flow, ptypes)
     counts = flagged.groupBy("vca", "is_video", "is_video_pred").agg(F.count(F.lit(1)).alias("n"))
     row = F.sum("n").over(Window.partitionBy("vca", "is_video"))
     return counts.withColumn("row_pct", F.col("n") / row * 100)
 
 
-def misclassified(packets: DataFrame, ptypes: DataFrame) -> DataFrame:
-    """Packets the size rule and the payload-type rule disagree on."""
-    flagged = clean.mark_video(clean.with_role(packets, ptypes))
-    truth = F.coalesce((F.col("role") == "video").cast("int"), F.lit(0))
-    return flagged.where(truth != F.col("is_video_pred"))
+def misclassified(flow: DataFrame, ptypes: DataFrame) -> DataFrame:
+    """Packets that are video by their size but not by their RTP header."""
+    return media_flags(flow, ptypes).where((F.col("is_video_pred") == 1) & (F.col("is_video") == 0))
 
 
-def payload_type_sizes(packets: DataFrame) -> DataFrame:
+def payload_type_sizes(flow: DataFrame) -> DataFrame:
     """Packet sizes by payload type: share, smallest, largest, mean, 1 % quantile."""
-    rtp = packets.where(F.col("p_type").isNotNull())
+    rtp = _typed_rtp(flow)
     keys = ["vca", "p_type"]
     basics = rtp.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -214,8 +223,12 @@ def payload_type_sizes(packets: DataFrame) -> DataFrame:
     )
 
 
-def payload_type_ecdf(packets: DataFrame) -> DataFrame:
-    return ecdf(packets.where(F.col("p_type").isNotNull()), ["vca", "p_type"], "length")
+def payload_type_ecdf(flow: DataFrame) -> DataFrame:
+    return ecdf(_typed_rtp(flow), ["vca", "p_type"], "length")
+
+
+def _typed_rtp(flow: DataFrame) -> DataFrame:
+    return clean.normal_payload_type(clean.rtp_only(flow)).where(F.col("p_type").isNotNull())
 
 
 def trace_durations(packets: DataFrame) -> DataFrame:
@@ -228,24 +241,19 @@ def trace_durations(packets: DataFrame) -> DataFrame:
     )
 
 
-def throughput(packets: DataFrame) -> DataFrame:
-    """Received kbit/s per second of a trace, and the second counted from the trace's first."""
-    rate = packets.groupBy(*KEYS, "vca", second_of("epoch_us").alias("ts")).agg(
-        F.sum("length").alias("bytes")
-    )
-    firsts = rate.groupBy(*KEYS).agg(F.min("ts").alias("_first"))
-    first = firsts.select(*KEYS, F.min("_first").over(whole_trace()).alias("_first"))
-    return (
-        rate.join(first, KEYS)
-        .groupBy("trace_id", "vca", "ts", (F.col("ts") - F.col("_first")).alias("rel_s"))
-        .agg((F.sum("bytes") * 8 / 1000).alias("kbps"))
-    )
+def throughput(packets: DataFrame, over: int = THROUGHPUT_BYTES) -> DataFrame:
+    """Kbit/s per second of a trace, of packets above a size."""
+    seconds = packets.where(F.col("length") > over).groupBy("trace_id", "vca", second_of("epoch_us").alias("ts"))
+    return seconds.agg((F.sum("length") * 8 / 1000).alias("kbps"))
 
 
 def throughput_against_labels(packets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Packet throughput next to the labelled bitrate of the same second."""
+    """Packet throughput next to the labelled bitrate of the same second, and the second counted from
+    the trace's first with both."""
     truth = labels.select("trace_id", "ts", (F.col("bitrate") / 1000).alias("label_kbps"))
-    return throughput(packets).join(truth, ["trace_id", "ts"])
+    # One row per second from here on.
+    met = throughput(packets).join(truth, ["trace_id", "ts"])
+    return met.withColumn("rel_s", F.col("ts") - F.min("ts").over(Window.partitionBy("trace_id")))
 
 
 def peak_by_relative_second(rates: DataFrame) -> DataFrame:

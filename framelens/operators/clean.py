@@ -82,6 +82,18 @@ def keep_busiest(
     return df.join(best, KEYS).where(F.col(endpoint) == F.col("_best")).drop("_best")
 
 
+def received_flow(packets: DataFrame) -> DataFrame:
+    """What one sender sent to the receiver over UDP: clean protocol, busiest receiver, then of what
+    is left the busiest sender."""
+    received = udp_only(keep_busiest(clean_protocol(packets)))
+    return keep_busiest(received, endpoint="ip_src")
+
+
+def received_frames(packets: DataFrame, over: int = VIDEO_BYTES) -> DataFrame:
+    """RTP packets of video size that reached the busiest receiver of all packets."""
+    return keep_busiest(video_sized(rtp_only(packets), over), population=packets)
+
+
 def with_role(df: DataFrame, ptypes: DataFrame) -> DataFrame:
     """Add ``role`` ('video', 'rtx' or null) by payload type.
 

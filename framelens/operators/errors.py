@@ -134,11 +134,17 @@ def mean_relative_error(predictions: DataFrame) -> DataFrame:
     )
 
 
-def call_seconds(predictions: DataFrame) -> DataFrame:
-    """Call time per application: seconds per trace, then their sum."""
-    seconds = predictions.groupBy("vca", "trace_id").agg(F.count_distinct("ts").alias("s"))
-    return seconds.groupBy("vca").agg(
-        F.sum("s").alias("seconds"), F.count(F.lit(1)).alias("n_traces")
+def call_seconds(predictions: DataFrame, durations: DataFrame, metric: str, method: str) -> DataFrame:
+    """Call time per application: the labelled duration of every trace that one metric and method
+    predict, summed.
+
+    ``durations`` has trace_id and duration, once per trace or, as labels do, once per second.
+    """
+    scored = predictions.where((F.col("metric") == metric) & (F.col("method") == method))
+    traces = scored.groupBy("vca", "trace_id").agg(F.count(F.lit(1)).alias("_n"))
+    each = durations.groupBy("trace_id").agg(F.avg("duration").alias("duration"))
+    return traces.join(each, "trace_id").groupBy("vca").agg(
+        F.sum("duration").alias("seconds"), F.count(F.lit(1)).alias("n_traces")
     )
 
 

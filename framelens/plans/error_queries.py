@@ -198,12 +198,16 @@ def app_labels(spark, sf_dir):
 @query(
     "call_seconds",
     pred_sql(
-        "select vca, cast(sum(s) as bigint) as seconds, count(*) as n_traces from (select vca, "
-        "trace_id, count(distinct ts) as s from pred group by 1, 2) group by 1"
+        "select vca, round(sum(s), 6) as seconds, count(*) as n_traces from (select p.vca, p.trace_id, "
+        "avg(d.duration) as s from pred p join (select trace_id, max(ts) - min(ts) + 1 as duration from "
+        "lb group by 1) d using (trace_id) where metric = 'framesReceivedPerSecond' and "
+        "method = 'ip-udp-heuristic' group by 1, 2) group by 1"
     ),
 )
 def call_seconds(spark, sf_dir):
-    return errors.call_seconds(predictions(spark, sf_dir))
+    seconds = view.labels(view.packets(spark, sf_dir)).groupBy("trace_id")
+    durations = seconds.agg((F.max("ts") - F.min("ts") + 1).alias("duration"))
+    return errors.call_seconds(predictions(spark, sf_dir), durations, errors.FPS, "ip-udp-heuristic")
 
 
 @query(
@@ -486,6 +490,12 @@ def kept_with_rtp(spark, sf_dir):
     return heuristics.heuristic_packets(view.packets(spark, sf_dir)).select(*KEPT_COLUMNS)
 
 
+def flow_with_rtp(spark, sf_dir):
+    """Packets of video size that the busiest sender sent, as frames are assembled from for a look at them."""
+    flow = clean.received_flow(view.packets(spark, sf_dir))
+    return clean.video_sized(flow).select(*KEPT_COLUMNS)
+
+
 ERR = """er as (
   select trace_id, vca, c.f as frac_coalesce, i.f as frac_interleave from
     (select trace_id, vca, avg((n > 1)::int) as f from (select trace_id, vca, frame_num,
@@ -498,25 +508,25 @@ ERR = """er as (
 @query(
     "assembly_errors",
     p.sql(
-        p.HEUR_KEPT + [p.LB3, ERR],
+        p.FLOW_KEPT + [p.LB3, ERR],
         "select trace_id, vca, round(frac_coalesce, 6) as frac_coalesce, "
         "round(frac_interleave, 6) as frac_interleave from er",
     ),
 )
 def assembly_errors(spark, sf_dir):
-    return assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
+    return assembly.assembly_errors(assign_frames(flow_with_rtp(spark, sf_dir)))
 
 
 @query(
     "mean_assembly_errors",
     p.sql(
-        p.HEUR_KEPT + [p.LB3, ERR],
+        p.FLOW_KEPT + [p.LB3, ERR],
         "select vca, measure, round(100 * avg(greatest(value, 0.0)), 6) as mean_pct from er "
         "unpivot (value for measure in (frac_coalesce, frac_interleave)) group by 1, 2",
     ),
 )
 def mean_assembly_errors(spark, sf_dir):
-    table = assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
+    table = assembly.assembly_errors(assign_frames(flow_with_rtp(spark, sf_dir)))
     long = errors.inaccuracy_long(table, ["frac_coalesce", "frac_interleave"])
     return errors.inaccuracy_means(long)
 
@@ -524,20 +534,20 @@ def mean_assembly_errors(spark, sf_dir):
 @query(
     "assembly_error_ecdf",
     p.sql(
-        p.HEUR_KEPT + [p.LB3, ERR],
+        p.FLOW_KEPT + [p.LB3, ERR],
         "select distinct vca, measure, round(value, 6) as value, round(cume_dist() over (partition "
         "by vca, measure order by value), 6) as cume from er "
         "unpivot (value for measure in (frac_coalesce, frac_interleave))",
     ),
 )
 def assembly_error_ecdf(spark, sf_dir):
-    table = assembly.assembly_errors(assign_frames(kept_with_rtp(spark, sf_dir)))
+    table = assembly.assembly_errors(assign_frames(flow_with_rtp(spark, sf_dir)))
     long = errors.inaccuracy_long(table, ["frac_coalesce", "frac_interleave"])
     return ecdf(long, ["vca", "measure"], "value")
 
 
-def _sweep(select: str) -> str:
-    parts = list(p.HEUR_KEPT)
+def _sweep(select: str, kept: list[str]) -> str:
+    parts = list(kept)
     for d in DEPTHS:
         parts.append(p.lookback(str(d), d, name=f"asg{d}"))
     union = " union all ".join(
@@ -554,7 +564,8 @@ def _sweep(select: str) -> str:
         "avg(abs(n - fps)) as mae from (select vca, d, trace_id, e // 1000000 + 1 as ts, count(*) as n "
         "from (select vca, d, trace_id, frame_num, max(epoch_us) as e from sw group by 1, 2, 3, 4) "
         "group by 1, 2, 3, 4) s join lb on lb.trace_id = s.trace_id and lb.ts = s.ts "
-        "group by 1, 2, 3) group by 1, 2"
+        "group by 1, 2, 3) group by 1, 2",
+        p.HEUR_KEPT,
     ),
 )
 def lookback_sweep_fps(spark, sf_dir):
@@ -570,17 +581,18 @@ def lookback_sweep_fps(spark, sf_dir):
         "trace_id, frame_num, count(distinct rtp_ts) as n from sw group by 1, 2, 3, 4) "
         "group by 1, 2, 3) join (select vca, d, trace_id, avg((n > 1)::int) as i from (select vca, d, "
         "trace_id, rtp_ts, count(distinct frame_num) as n from sw where rtp_ts is not null "
-        "group by 1, 2, 3, 4) group by 1, 2, 3) using (vca, d, trace_id) group by 1, 2"
+        "group by 1, 2, 3, 4) group by 1, 2, 3) using (vca, d, trace_id) group by 1, 2",
+        p.FLOW_KEPT,
     ),
 )
 def lookback_sweep_assembly(spark, sf_dir):
-    return assembly.sweep_assembly_errors(kept_with_rtp(spark, sf_dir), DEPTHS)
+    return assembly.sweep_assembly_errors(flow_with_rtp(spark, sf_dir), DEPTHS)
 
 
 @query(
     "frame_trace",
     p.sql(
-        p.HEUR_KEPT + [p.LB3],
+        p.FLOW_KEPT + [p.LB3],
         "select pkt_ord, t_us, length, dense_rank() over (order by frame_num) as size_frame, "
         "dense_rank() over (order by rtp_ts nulls first) as rtp_frame, row_number() over "
         "(partition by frame_num order by t_us desc, pkt_ord desc) = 1 as is_last from asg "
@@ -588,17 +600,33 @@ def lookback_sweep_assembly(spark, sf_dir):
     ),
 )
 def frame_trace(spark, sf_dir):
-    return assembly.frame_trace(assign_frames(kept_with_rtp(spark, sf_dir)), 0, 3)
+    return assembly.frame_trace(assign_frames(flow_with_rtp(spark, sf_dir)), 0, 3)
+
+
+def sizes_sql(source: str) -> str:
+    return f"""sz as (
+  select trace_id, vca, rtp_ts, count(*) as n_pkts, max(length) as max_size, min(length) as min_size,
+    avg(length) as mean_size
+  from {source} where rtp_ts is not null group by 1, 2, 3)"""
+
 
+# RTP packets of video size that reached the receiver.
+SIZED = [
+    p.PK, p.best("rcv", "pk"), p.join_best("sized", "pk", "rcv", "ssrc is not null and length > 306"),
+    sizes_sql("sized"),
+]
 
-SIZES = """sz as (
-  select trace_id, vca, rtp_ts, count(*) as n_pkts, max(length) as max_size, min(length) as min_size
-  from pk where rtp_ts is not null group by 1, 2, 3)"""
+
+def frame_sizes(spark, sf_dir):
+    return assembly.rtp_frame_sizes(clean.received_frames(view.packets(spark, sf_dir)))
 
 
 @query(
     "rtp_frame_sizes",
-    p.sql([p.PK, SIZES], "select *, max_size - min_size as size_range from sz"),
+    p.sql(
+        [p.PK, sizes_sql("pk")],
+        "select * replace (round(mean_size, 6) as mean_size), max_size - min_size as size_range from sz",
+    ),
 )
 def rtp_frame_sizes(spark, sf_dir):
     return assembly.rtp_frame_sizes(view.packets(spark, sf_dir)).drop("chunk")
@@ -607,55 +635,67 @@ def rtp_frame_sizes(spark, sf_dir):
 @query(
     "size_range_summary",
     p.sql(
-        [p.PK, SIZES],
+        SIZED,
         "select vca, round(avg((max_size - min_size <= 2)::int), 6) as within_2, "
         "round(avg((max_size = min_size)::int), 6) as equal, "
-        "round(avg((n_pkts < 4)::int), 6) as under_4_pkts, count(*) as n_frames, "
-        "round(quantile_cont(max_size - min_size, 0.96), 6) as p96 from sz group by 1",
+        "round(avg((n_pkts < 4)::int), 6) as under_4_pkts, round(avg(mean_size), 6) as mean_size, "
+        "count(*) as n_frames, round(quantile_cont(max_size - min_size, 0.96), 6) as p96, "
+        "round(quantile_cont(n_pkts, 0.96), 6) as p96_pkts from sz group by 1",
     ),
 )
 def size_range_summary(spark, sf_dir):
-    return assembly.size_range_summary(assembly.rtp_frame_sizes(view.packets(spark, sf_dir)))
+    return assembly.size_range_summary(frame_sizes(spark, sf_dir))
+
+
+@query(
+    "frame_length_ecdf",
+    p.sql(
+        SIZED,
+        "select distinct vca, n_pkts, round(cume_dist() over (partition by vca order by n_pkts), 6) as cume from sz",
+    ),
+)
+def frame_length_ecdf(spark, sf_dir):
+    return ecdf(frame_sizes(spark, sf_dir), ["vca"], "n_pkts")
 
 
 @query(
     "inter_frame_difference",
     p.sql(
-        [p.PK, SIZES],
-        "select * from (select trace_id, vca, rtp_ts, greatest(abs(min_size - lag(max_size) over w), "
-        "abs(max_size - lag(min_size) over w)) as inter_diff from sz "
-        "window w as (partition by trace_id order by rtp_ts)) where inter_diff is not null",
+        [*p.FLOW, sizes_sql("flow")],
+        "select * from (select trace_id, vca, rtp_ts, max_size - min_size as intra_diff, "
+        "greatest(abs(min_size - lag(max_size) over w), abs(max_size - lag(min_size) over w)) as inter_diff "
+        "from sz window w as (partition by trace_id order by rtp_ts)) where inter_diff is not null",
     ),
 )
 def inter_frame_difference(spark, sf_dir):
-    sizes = assembly.rtp_frame_sizes(view.packets(spark, sf_dir))
-    return assembly.inter_frame_difference(sizes)
+    flow = clean.received_flow(view.packets(spark, sf_dir))
+    return assembly.inter_frame_difference(assembly.rtp_frame_sizes(flow))
+
+
+IS_VIDEO = "(coalesce(p_type in ('98', '99'), false) and ssrc is not null and length > 306)"
 
 
 @query(
     "media_confusion",
     p.sql(
-        [p.PK],
-        "select vca, (coalesce(p_type, '') = '98')::int as is_video, (length > 306)::int as "
-        "is_video_pred, count(*) as n, round(100 * count(*) / sum(count(*)) over (partition by vca, "
-        "(coalesce(p_type, '') = '98')::int), 6) as row_pct from pk group by 1, 2, 3",
+        [*p.FLOW, f"fl as (select *, {IS_VIDEO}::int as is_video from flow)"],
+        "select vca, is_video, (length > 306)::int as is_video_pred, count(*) as n, "
+        "round(100 * count(*) / sum(count(*)) over (partition by vca, is_video), 6) as row_pct "
+        "from fl group by 1, 2, 3",
     ),
 )
 def media_confusion(spark, sf_dir):
-    return assembly.media_confusion(view.packets(spark, sf_dir), view.payload_types(spark))
+    flow = clean.received_flow(view.packets(spark, sf_dir))
+    return assembly.media_confusion(flow, view.payload_types(spark))
 
 
 @query(
     "misclassified_packets",
-    p.sql(
-        [p.PK],
-        "select trace_id, pkt_ord, p_type, length from pk "
-        "where (coalesce(p_type, '') = '98') <> (length > 306)",
-    ),
+    p.sql(p.FLOW, f"select trace_id, pkt_ord, p_type, length from flow where length > 306 and not {IS_VIDEO}"),
 )
 def misclassified(spark, sf_dir):
-    pk = view.packets(spark, sf_dir)
-    return assembly.misclassified(pk, view.payload_types(spark)).select(
+    flow = clean.received_flow(view.packets(spark, sf_dir))
+    return assembly.misclassified(flow, view.payload_types(spark)).select(
         "trace_id", "pkt_ord", "p_type", "length"
     )
 
@@ -663,54 +703,60 @@ def misclassified(spark, sf_dir):
 @query(
     "payload_type_sizes",
     p.sql(
-        [p.PK],
+        p.FLOW,
         "select vca, p_type, count(*) as n, min(length) as min_size, max(length) as max_size, "
         "round(avg(length), 6) as mean_size, round(100 * count(*) / sum(count(*)) over "
         "(partition by vca), 6) as share_pct, round(quantile_cont(length, 0.01), 6) as p1 "
-        "from pk where p_type is not null group by 1, 2",
+        "from flow where p_type is not null and ssrc is not null group by 1, 2",
     ),
 )
 def payload_type_sizes(spark, sf_dir):
-    return assembly.payload_type_sizes(view.packets(spark, sf_dir))
+    return assembly.payload_type_sizes(clean.received_flow(view.packets(spark, sf_dir)))
 
 
 @query(
     "payload_type_ecdf",
     p.sql(
-        [p.PK],
+        p.FLOW,
         "select distinct vca, p_type, length, round(cume_dist() over (partition by vca, p_type "
-        "order by length), 6) as cume from pk where p_type is not null",
+        "order by length), 6) as cume from flow where p_type is not null and ssrc is not null",
     ),
 )
 def payload_type_ecdf(spark, sf_dir):
-    return assembly.payload_type_ecdf(view.packets(spark, sf_dir))
+    return assembly.payload_type_ecdf(clean.received_flow(view.packets(spark, sf_dir)))
 
 
-@query(
-    "trace_durations",
-    p.sql(
-        [p.PK],
+def durations_sql(source: str, where: str = "true") -> str:
+    return (
         "select vca, round(sum(s), 6) as seconds, count(*) as n_traces from (select vca, trace_id, "
-        "(max(t_us) - min(t_us)) / 1e6 as s from pk group by 1, 2) group by 1",
-    ),
-)
+        f"(max(t_us) - min(t_us)) / 1e6 as s from {source} where {where} group by 1, 2) group by 1"
+    )
+
+
+@query("trace_durations", p.sql(p.FLOW, durations_sql("flow")))
 def trace_durations(spark, sf_dir):
-    return assembly.trace_durations(view.packets(spark, sf_dir))
+    return assembly.trace_durations(clean.received_flow(view.packets(spark, sf_dir)))
+
+
+@query("rtp_durations", p.sql([p.PK], durations_sql("pk", "ssrc is not null")))
+def rtp_durations(spark, sf_dir):
+    return assembly.trace_durations(clean.rtp_only(view.packets(spark, sf_dir)))
 
 
 RATES = """rt as (
-  select trace_id, vca, epoch_us // 1000000 as ts, sum(length) * 8 / 1000.0 as kbps from pk group by 1, 2, 3),
+  select trace_id, vca, epoch_us // 1000000 as ts, sum(length) * 8 / 1000.0 as kbps from pk
+  where length > 304 group by 1, 2, 3),
 ra as (
-  select rt.trace_id, rt.vca, rt.ts, rt.ts - min(rt.ts) over (partition by rt.trace_id) as rel_s, kbps
-  from rt)"""
+  select rt.trace_id, vca, rt.ts, rt.ts - min(rt.ts) over (partition by rt.trace_id) as rel_s, kbps,
+    bitrate / 1000 as label_kbps
+  from rt join lb on rt.trace_id = lb.trace_id and rt.ts = lb.ts)"""
 
 
 @query(
     "throughput_against_labels",
     p.sql(
         [p.PK, p.LB, RATES],
-        "select ra.trace_id, vca, ra.ts, rel_s, round(kbps, 6) as kbps, round(bitrate / 1000, 6) as "
-        "label_kbps from ra join lb on ra.trace_id = lb.trace_id and ra.ts = lb.ts",
+        "select * replace (round(kbps, 6) as kbps, round(label_kbps, 6) as label_kbps) from ra",
     ),
 )
 def throughput_against_labels(spark, sf_dir):
@@ -722,8 +768,8 @@ def throughput_against_labels(spark, sf_dir):
     "peak_by_relative_second",
     p.sql(
         [p.PK, p.LB, RATES],
-        "select vca, rel_s, round(max(kbps), 6) as peak_kbps, round(max(bitrate / 1000), 6) as "
-        "peak_label_kbps from ra join lb on ra.trace_id = lb.trace_id and ra.ts = lb.ts group by 1, 2",
+        "select vca, rel_s, round(max(kbps), 6) as peak_kbps, round(max(label_kbps), 6) as "
+        "peak_label_kbps from ra group by 1, 2",
     ),
 )
 def peak_by_relative_second(spark, sf_dir):
@@ -736,9 +782,9 @@ def peak_by_relative_second(spark, sf_dir):
 @query(
     "throughput_ecdf",
     p.sql(
-        [p.PK, RATES],
+        [p.PK, p.LB, RATES],
         "select distinct vca, round(kbps, 6) as kbps, round(cume_dist() over (partition by vca order "
-        "by kbps), 6) as cume from ra",
+        "by kbps), 6) as cume from rt",
     ),
 )
 def throughput_ecdf(spark, sf_dir):

@@ -53,6 +53,16 @@ HEUR_KEPT = [
     best("rcv", "cl"),
     join_best("kept", "cl", "rcv", "ip_proto = 17 and length > 306"),
 ]
+# What the busiest sender sent the receiver.
+FLOW = [
+    PK,
+    CL,
+    best("rcv", "cl"),
+    join_best("rx", "cl", "rcv", "ip_proto = 17"),
+    best("snd", "rx", "ip_src"),
+    join_best("flow", "rx", "snd", "true", "ip_src"),
+]
+FLOW_KEPT = [*FLOW, "kept as (select * from flow where length > 306)"]
 ML_KEPT = [
     PK,
     CL,

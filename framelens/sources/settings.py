@@ -21,6 +21,7 @@ SAME_TYPES_AS = {"hashed_in_lab": "in_lab_data", "hashed_real_world": "real_worl
 
 # Frame assembly and feature widths.
 VIDEO_BYTES = 306
+THROUGHPUT_BYTES = 304
 RTP_HEADER_BYTES = 12
 SIZE_TOLERANCE = 2
 LOOKBACK = {"meet": 3, "teams": 2, "webex": 1}
