@@ -20,7 +20,9 @@ METRICS = ["framesReceivedPerSecond", "bitrate", "frame_jitter", "frameHeight"]
 ROUNDED = ("framesPerSecond", "framesRendered", "framesReceived", "framesReceivedPerSecond")
 CLASSES = ("frameHeight",)
 TREES = 100
+# Spark's limit, and its number of candidate splits of a feature; the trees re-expressed here have neither.
 DEPTH = 30
+BINS = 32
 
 
 def model_input(rows: DataFrame, metric: str) -> tuple[DataFrame, list[str]]:
@@ -48,6 +50,7 @@ def forest(metric: str, names: list[str], trees: int = TREES, depth: int = DEPTH
         featuresCol="_x",
         numTrees=trees,
         maxDepth=depth,
+        maxBins=BINS,
         seed=seed,
         cacheNodeIds=True,
         maxMemoryInMB=1024,
@@ -141,12 +144,24 @@ def _without_target(model: PipelineModel) -> PipelineModel:
 def importances(
     model: PipelineModel, rows: DataFrame, metric: str, method: str, fold: int, vca: str
 ) -> DataFrame:
-    """Feature scores of one model (one row per feature or vector element)."""
-    names = feature_columns(rows, METRICS)
+    """Feature scores of one model, one row per feature; element i of an array feature is ``<name>_i``."""
+    names = feature_names(rows)
     scores = [float(v) for v in model.stages[-1].featureImportances.toArray()]
-    if len(scores) != len(names):
-        names = [f"x_{i}" for i in range(len(scores))]
     return rows.sparkSession.createDataFrame(
-        [(metric, method, fold, vca, n, s) for n, s in zip(names, scores)],
+        [(metric, method, fold, vca, n, s) for n, s in zip(names, scores, strict=True)],
         IMPORTANCES,
     )
+
+
+def feature_names(rows: DataFrame) -> list[str]:
+    """The features in the order they are assembled in, array features element by element from 1.
+
+    Array features are as wide in every row of one application.
+    """
+    names, types = feature_columns(rows, METRICS), dict(rows.dtypes)
+    arrays = [c for c in names if types[c].startswith("array")]
+    widths = rows.select(*[F.size(c).alias(c) for c in arrays]).first() if arrays else None
+    out = []
+    for c in names:
+        out += [f"{c}_{i + 1}" for i in range(widths[c])] if c in arrays else [c]
+    return out

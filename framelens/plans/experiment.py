@@ -13,7 +13,7 @@ from framelens.operators import errors, features, heuristics, learn, splits
 from framelens.operators.validate import valid_traces, validate
 from framelens.sources import tables
 from framelens.sources.catalog import trial_id
-from framelens.session import path_exists
+from framelens.session import cut_lineage, path_exists
 
 METHODS = ["ip-udp-heuristic", "rtp-heuristic", "ip-udp-ml", "rtp-ml"]
 
@@ -122,7 +122,7 @@ class Experiment:
             for vca, model in models.items():
                 key = f"{metric}/{method}/{fold}/{vca}"
                 model.write().overwrite().save(f"{self.out}/models/{key}")
-                scores = learn.importances(model, rows, metric, method, fold, vca)
+                scores = learn.importances(model, of_app[vca], metric, method, fold, vca)
                 tables.write_predictions(scores, f"{self.out}/importances")
                 test = of_app[vca].where(F.col("fold") == fold)
                 found = learn.predict(model, test, metric, method)
@@ -158,17 +158,34 @@ def trial_scores(predictions: DataFrame, subset: str, dataset: str) -> DataFrame
     return scored.select(F.col("method").alias("trial"), "vca", "mae", "accuracy", "n_traces")
 
 
+def cross_validated(rows: DataFrame, metric: str, method: str, **forest) -> tuple[DataFrame, DataFrame]:
+    """Predictions of every fold for every application found in ``rows``, each by a model of the other
+    folds, and the importances of all models. ``rows`` has ``fold`` and is stored; folds without training
+    rows give none.
+    """
+    keys = [(r["vca"], r["fold"]) for r in rows.select("vca", "fold").distinct().orderBy("vca", "fold").collect()]
+    of = F.col("vca")
+    train = {(v, k): rows.where((of == v) & (F.col("fold") != k)) for v, k in keys}
+    models = learn.fit_many(train, metric, parallelism=8, **forest)
+    empty = rows.sparkSession.createDataFrame
+    found, scores = [empty([], f"{learn.PREDICTIONS}, fold int")], [empty([], learn.IMPORTANCES)]
+    for (vca, fold), model in models.items():
+        test = rows.where((of == vca) & (F.col("fold") == fold))
+        found.append(learn.predict(model, test, metric, method).withColumn("fold", F.lit(int(fold))))
+        scores.append(learn.importances(model, train[vca, fold], metric, method, int(fold), vca))
+    return errors.all_results(found), errors.all_results(scores)
+
+
 def window_sweep(
     packets: DataFrame,
     labels: DataFrame,
     folds: DataFrame,
     windows_us: Sequence[int],
     metric: str = "framesReceivedPerSecond",
-    fold: int = 1,
     **forest,
 ) -> DataFrame:
-    """MAE per application and prediction window, one fold. A window of several seconds still
-    takes the label of the one second it ends in."""
+    """MAE per application and prediction window, over the test rows of all folds. A window of several
+    seconds still takes the label of the one second it ends in."""
     parts = [
         packets.sparkSession.createDataFrame(
             [], "metric string, vca string, mae double, window_s double"
@@ -178,13 +195,8 @@ def window_sweep(
         rows = features.join_labels(
             features.ip_udp_features(packets, window_us), labels, [metric]
         ).join(folds.select("trace_id", "fold"), "trace_id")
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        train = train.persist()
-        model = learn.fit(train, metric, **forest)
-        train.unpersist()
-        if model is None:
-            continue
-        found = learn.predict(model, test, metric, "ip-udp-ml")
+        # A forest passes over its rows once per level.
+        found, _ = cross_validated(cut_lineage(rows), metric, "ip-udp-ml", **forest)
         parts.append(
             errors.micro_mae(found, ("metric", "vca")).withColumn(
                 "window_s", F.lit(window_us / 1e6)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from framelens.operators import errors, features, learn, splits
+from framelens.operators import errors, features, splits
 from framelens.operators.validate import valid_traces, validate
 from framelens.plans import sql_parts as p
-from framelens.plans.experiment import window_sweep
+from framelens.plans.experiment import cross_validated, window_sweep
 from framelens.plans.registry import query
 from framelens.session import cut_lineage
 from framelens.sources import dumps
@@ -27,40 +27,28 @@ def labelled(spark, sf_dir, metric: str, method: str = "ip-udp-ml"):
     return cut_lineage(rows.join(folds.select("trace_id", "fold"), "trace_id"))
 
 
-def _fold_1(spark, sf_dir, metric: str, method: str):
-    """Predictions of fold 1 per application (three fits), and the models' importances."""
-    rows = labelled(spark, sf_dir, metric, method)
-    apps = {v: rows.where(F.col("vca") == v) for v in ("meet", "teams", "webex")}
-    models = learn.fit_many({v: r.where(F.col("fold") != 1) for v, r in apps.items()}, metric)
-    # Start from empty tables: too few traces give no model and no rows, not an error.
-    found = [spark.createDataFrame([], learn.PREDICTIONS)] + [
-        learn.predict(m, apps[v].where(F.col("fold") == 1), metric, method)
-        for v, m in models.items()
-    ]
-    scores = [spark.createDataFrame([], learn.IMPORTANCES)] + [
-        learn.importances(m, rows, metric, method, 1, v) for v, m in models.items()
-    ]
-    return errors.all_results(found), errors.all_results(scores)
+def _cross_validated(spark, sf_dir, metric: str, method: str):
+    return cross_validated(labelled(spark, sf_dir, metric, method), metric, method)
 
 
 @query("ip_udp_ml_frame_rate")
 def ip_udp_ml_frame_rate(spark, sf_dir):
-    return _fold_1(spark, sf_dir, "framesReceivedPerSecond", "ip-udp-ml")[0]
+    return _cross_validated(spark, sf_dir, "framesReceivedPerSecond", "ip-udp-ml")[0]
 
 
 @query("rtp_ml_bitrate")
 def rtp_ml_bitrate(spark, sf_dir):
-    return _fold_1(spark, sf_dir, "bitrate", "rtp-ml")[0]
+    return _cross_validated(spark, sf_dir, "bitrate", "rtp-ml")[0]
 
 
 @query("ip_udp_ml_resolution")
 def ip_udp_ml_resolution(spark, sf_dir):
-    return _fold_1(spark, sf_dir, "frameHeight", "ip-udp-ml")[0]
+    return _cross_validated(spark, sf_dir, "frameHeight", "ip-udp-ml")[0]
 
 
 @query("top_feature_importances")
 def top_feature_importances(spark, sf_dir):
-    scores = _fold_1(spark, sf_dir, "frame_jitter", "ip-udp-ml")[1]
+    scores = _cross_validated(spark, sf_dir, "frame_jitter", "ip-udp-ml")[1]
     return errors.top_importances(scores, 5)
 
 
@@ -69,7 +57,12 @@ def window_size_sweep(spark, sf_dir):
     pk = view.packets(spark, sf_dir)
     folds = splits.kfold(pk.select("trace_id", "vca").distinct())
     return window_sweep(
-        pk, view.labels(pk), cut_lineage(folds), [1_000_000, 5_000_000, 10_000_000]
+        pk,
+        view.labels(pk),
+        cut_lineage(folds),
+        [s * 1_000_000 for s in range(1, 11)],
+        # A model per window, application and fold; their number is what counts here.
+        trees=25,
     )
 
 
