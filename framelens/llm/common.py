@@ -65,3 +65,10 @@ def row_key(text: str = "text") -> Column:
 def spread(*key: str, ways: int = 64) -> Column:
     """A salt that deals the rows of one hot key to several tasks and is the same in every run."""
     return F.pmod(F.xxhash64(*key), F.lit(ways)).cast("int")
+
+
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """The prefix, lengthened until no column begins with it, whatever the case of its letters."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import BLANKS, small, spread, stored, text_or_empty
+from framelens.llm.common import BLANKS, row_key, small, spread, stored, text_or_empty
 
 PREFIX = 256
 SALTS = 64
@@ -30,12 +30,13 @@ def _crowded(keys: DataFrame, *by: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, keep_id, group_size, kept, and the lengths and prefix hashes compared. Of a group, the longest original text stays."""
+    """Per row: doc_id, keep_id, group_size, kept, and a hash of its id and text. Of a group, the longest original text stays."""
     plain = F.regexp_replace("text", f"{BLANKS}+", "")
     rows = docs.select("doc_id", text_or_empty()).withColumn("plain_", plain)
     order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))
     keys = rows.select(
         "doc_id",
+        row_key().alias("row"),
         F.struct(F.char_length("text").alias("long"), (-order).alias("early"), F.col("doc_id").alias("id")).alias("rank"),
         F.octet_length("plain_").alias("bytes"),
         F.xxhash64(F.substring("plain_", 1, PREFIX)).alias("prefix"),
@@ -48,6 +49,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         rows.join(suspects, rows["doc_id"].eqNullSafe(suspects["doc_id"]), "left_semi")
         .select(
             "doc_id",
+            row_key().alias("row"),
             F.struct(F.char_length("text").alias("long"), (-order).alias("early"), F.col("doc_id").alias("id")).alias("rank"),
             F.octet_length("plain_").alias("bytes"),
             F.xxhash64(F.substring("plain_", 1, PREFIX)).alias("prefix"),
@@ -62,32 +64,24 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         F.max("best").alias("best"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts")
     )
     per_salt = groups.select(*key, "best", "group_size", F.explode("salts").alias("salt"))
-    met = full.join(per_salt, [*key, "salt"]).select("doc_id", "bytes", "prefix", "rank", "best", "group_size")
+    met = full.join(per_salt, [*key, "salt"]).select("doc_id", "row", "rank", "best", "group_size")
     alone = keys.join(suspects, keys["doc_id"].eqNullSafe(suspects["doc_id"]), "left_anti").select(
-        "doc_id", "bytes", "prefix", "rank", F.col("rank").alias("best"), F.lit(1).cast("long").alias("group_size")
+        "doc_id", "row", "rank", F.col("rank").alias("best"), F.lit(1).cast("long").alias("group_size")
     )
     return alone.unionByName(met).select(
         "doc_id",
         F.col("best.id").alias("keep_id"),
         "group_size",
         F.col("rank").eqNullSafe(F.col("best")).alias("kept"),
-        F.col("bytes").alias("plain_bytes"),
-        F.col("prefix").alias("prefix_hash"),
+        "row",
     )
 
 
 def with_digest(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The groups with the SHA-256 of each row's normalised text."""
+    """The groups with the SHA-256 of each row's normalised text, joined by a hash of the row's id and text."""
     plain = F.regexp_replace(text_or_empty(), f"{BLANKS}+", "")
-    digests = docs.select("doc_id", plain.alias("plain_")).select(
-        F.col("doc_id").alias("id_"),
-        F.octet_length("plain_").alias("plain_bytes"),
-        F.xxhash64(F.substring("plain_", 1, PREFIX)).alias("prefix_hash"),
-        F.sha2("plain_", 256).alias("text_sha256"),
+    digests = docs.select(
+        F.col("doc_id").alias("id_"), row_key().alias("row_"), F.sha2(plain, 256).alias("text_sha256")
     ).distinct()
-    same = (
-        groups["doc_id"].eqNullSafe(digests["id_"])
-        & (groups["plain_bytes"] == digests["plain_bytes"])
-        & (groups["prefix_hash"] == digests["prefix_hash"])
-    )
+    same = groups["doc_id"].eqNullSafe(digests["id_"]) & (groups["row"] == digests["row_"])
     return groups.join(digests, same).select(*[groups[c] for c in groups.columns], "text_sha256")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import row_key, small, stored
+from framelens.llm.common import free_prefix, row_key, small, stored
 
 TAU = 2
 LEAST_CHARS = 20
@@ -262,23 +262,25 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Documents that lose all their words this way are left out.
     """
+    own = free_prefix(docs.columns, "line_dedup_")
+    gone, text = own + "gone", own + "text"
     drop = (
         marked_lines(docs)
         .where("exact or near")
-        .groupBy(*[F.col(c).alias(f"{c}__") for c in DOC])
-        .agg(F.collect_set("at").alias("drop__"))
+        .groupBy(*[F.col(c).alias(own + c) for c in DOC])
+        .agg(F.collect_set("at").alias(gone))
     )
-    rows = docs.join(drop, [own == F.col(f"{c}__") for own, c in zip(_doc(), DOC, strict=True)], "left")
+    rows = docs.join(drop, [mine == F.col(own + c) for mine, c in zip(_doc(), DOC, strict=True)], "left")
     lines = F.split("text", "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop__"))
-    text = F.when(
-        F.col("drop__").isNotNull() & F.col("text").isNotNull(),
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    shorter = F.when(
+        F.col(gone).isNotNull() & F.col("text").isNotNull(),
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"),
     ).otherwise(F.col("text"))
-    changed = rows.withColumn("text__", text).where(
-        "drop__ is null or text__ is null or text__ rlike '[^\\\\x20\\\\x09-\\\\x0D]'"
+    changed = rows.withColumn(text, shorter).where(
+        F.col(gone).isNull() | F.col(text).isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]")
     )
-    length = F.when(F.col("drop__").isNull(), docs["n_chars"]).otherwise(F.char_length("text__").cast("long")) if "n_chars" in docs.columns else None
+    length = F.when(F.col(gone).isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast("long")) if "n_chars" in docs.columns else None
     return changed.select(
-        *[F.col("text__").alias("text") if c == "text" else length.alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+        *[F.col(text).alias("text") if c == "text" else length.alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
     )

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelens.llm.common import row_key, small, stored, text_or_empty
+from framelens.llm.common import free_prefix, row_key, small, stored, text_or_empty
 from framelens.llm.components import components
 
 SHINGLE = 5
@@ -343,6 +343,8 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, one of each component: that with the least id."""
-    gone = _judged(docs).where("not kept").select(F.col("id").alias("gone_"), F.col("doc_id").alias("gone_doc_")).distinct()
-    same = (row_key() == F.col("gone_")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_doc_"))
+    own = free_prefix(docs.columns, "near_dedup_")
+    found = _judged(docs).where("not kept")
+    gone = found.select(F.col("id").alias(own + "id"), F.col("doc_id").alias(own + "doc")).distinct()
+    same = (row_key() == F.col(own + "id")) & F.col("doc_id").cast("long").eqNullSafe(F.col(own + "doc"))
     return docs.join(gone, same, "left_anti")

@@ -23,7 +23,7 @@ from math import log, prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelens.llm.common import BLANKS, stored
+from framelens.llm.common import BLANKS, free_prefix, stored
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -168,8 +168,6 @@ def judged(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def good_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents, all columns as they came, that pass the base and reach the posterior."""
-    name = "counts"
-    while name in docs.columns:
-        name += "_"
+    name = free_prefix(docs.columns, "counts")
     features = stored(with_features(docs, name), "quality")
     return features.where(~base_failed(F.col(name)) & verdict(features, name, least)).select(*docs.columns)

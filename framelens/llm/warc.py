@@ -9,7 +9,8 @@ Archives are plain WARC/1.1 files, compressed as whole files, of a bounded numbe
 writes and reads them, so they may lie in any store that Spark reaches.
 
 Nulls: a null payload is empty, a null url has no target header, a null id is a record without an id; null
-ids come after all others. Repeated ids are separate records. Payloads under `least` bytes are never
+ids come after all others. Repeated ids are separate records; rows equal in id, url and payload are one
+record that is written as often as it is given, each time in the same role. Payloads under `least` bytes are never
 revisits. An empty table gives an archive without records.
 """
 
@@ -47,12 +48,17 @@ def records(pages: DataFrame) -> DataFrame:
         payload.alias("html"),
         F.octet_length(payload).cast("long").alias("payload_bytes"),
         digest.alias("payload_digest"),
-        F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws("|", F.col("page_id").cast("string"), "url", digest), 256)).alias(
+        F.concat(F.lit("urn:sha256:"), F.sha2(F.concat_ws("|", _or_none("page_id"), _or_none("url"), digest), 256)).alias(
             "record_id"
         ),
     )
 
 
+def _or_none(name: str) -> Column:
+    """The value as text, told apart from a missing one."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("none"))
+
+
 def revisits(rows: DataFrame, least: int = 100) -> DataFrame:
     """record_id of every revisit, refers_to (the response's page_id) and that response's record id.
 
@@ -203,7 +209,7 @@ def resolved(read: DataFrame) -> DataFrame:
         F.col("payload_digest").alias("refers_to_digest"),
         F.col("payload_bytes").alias("bytes_"),
         F.col("page_id").alias("refers_to"),
-    )
+    ).distinct()
     # A record with revisits may have many; the response's row is dealt to the salts that they use.
     revisits = heads.where("record_type = 'revisit'").withColumn("salt", spread("record_id", ways=SALTS))
     wanted = revisits.select("refers_to_digest", "refers_to_record", "salt").distinct()
