@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import exp, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from framelens.operators.chunks import with_previous
 from framelens.operators.ranks import ecdf, quantiles
 
 FPS = "framesReceivedPerSecond"
+# Metrics that count frames a second and are scored within the tolerance.
+FRAME_METRICS = ["framesPerSecond", FPS, "framesDecodedPerSecond", "framesRendered"]
 BOX = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 # Tolerance around the truth per metric (fps, bit/s) and relative bitrate.
 FPS_TOLERANCE = 2
@@ -70,7 +73,7 @@ def macro_scores(predictions: DataFrame) -> DataFrame:
             "method",
             "vca",
             F.when(m != "frameHeight", F.col("_mae")).alias("mae"),
-            F.when(m == FPS, F.col("_near"))
+            F.when(m.isin(FRAME_METRICS), F.col("_near"))
             .when(m == "frameHeight", F.col("_exact"))
             .alias("accuracy"),
             "n_traces",
@@ -223,6 +226,53 @@ def parameter_sensitivity(
     )
 
 
+def poisson_cuts() -> list[int]:
+    """The 32-bit numbers from which on a Poisson(1) draw is at least 1, 2, 3 and so on."""
+    cuts, share, below = [], exp(-1), 0.0
+    while (cut := floor((below + share) * 2**32)) < 2**32 - 1:
+        cuts.append(cut)
+        below += share
+        share /= len(cuts)
+    return cuts
+
+
+def bootstrap_sensitivity(
+    predictions: DataFrame, profile: list[str], keys=("metric", "method", "vca"), rounds: int = 100
+) -> DataFrame:
+    """Mean absolute error with a 95 % bootstrap interval for every value of every network parameter.
+
+    Each round weighs every predicted second by a Poisson(1) draw, taken from a hash of the second and
+    the round, so bounds repeat. Weighted sums are combined on the map side into one row per
+    round and group; bounds are quantiles of the rounds' means. A group that a round leaves without
+    weight has no mean there.
+    """
+    keys = list(keys)
+    long = with_deviation(predictions).unpivot(
+        [*keys, "trace_id", "ts", "abs_dev"], profile, "parameter", "setting"
+    )
+    group = [*keys, "parameter", "setting"]
+    drawn = long.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    place = F.concat_ws("|", *keys, "trace_id", "ts", "round")
+    number = F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("bigint")
+    weight = reduce(lambda a, b: a + b, [(F.col("number") >= c).cast("int") for c in poisson_cuts()])
+    means = (
+        drawn.select(*group, "round", "abs_dev", number.alias("number"))
+        .select(*group, "round", "abs_dev", weight.alias("w"))
+        .groupBy(*group, "round")
+        .agg(
+            F.try_divide(F.sum(F.col("w") * F.col("abs_dev")), F.sum("w")).alias("mean"),
+            F.sum("abs_dev").alias("total"),
+            F.count(F.lit(1)).alias("n"),
+        )
+    )
+    return means.groupBy(*group).agg(
+        (F.max("total") / F.max("n")).alias("mae"),
+        F.percentile("mean", F.lit(0.025)).alias("ci_low"),
+        F.percentile("mean", F.lit(0.975)).alias("ci_high"),
+        F.max("n").alias("n"),
+    )
+
+
 def sensitivity_boxes(
     predictions: DataFrame, profile: list[str], keys=("metric", "method", "vca")
 ) -> DataFrame:
@@ -289,3 +339,9 @@ def describe(df: DataFrame, keys, value: str) -> DataFrame:
     )
     spread = quantiles(df, keys, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return basics.join(spread, keys)
+
+
+def describe_both(predictions: DataFrame, keys) -> DataFrame:
+    """``describe`` of predictions and of the truth, side by side per group (data set, metric, method)."""
+    keys = list(keys)
+    return describe(predictions.unpivot(keys, ["pred", "gt"], "side", "value"), [*keys, "side"], "value")

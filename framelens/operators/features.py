@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from framelens.functions import SECOND_US
 from framelens.operators import clean
 from framelens.operators.chunks import KEYS, ORDER, in_chunk, total_before, whole_trace, with_previous
+from framelens.operators.frames import unwrap_clock
 from framelens.operators.heuristics import received_rtp
 from framelens.operators.windows import anchor_table, assign_windows
 from framelens.sources.settings import VECTOR_WIDTH, by_app
@@ -17,7 +18,9 @@ WINDOW = ["trace_id", "vca", "interval", "et"]
 BURST_GAP_MS = 30
 # What a statistic of nothing is.
 NO_BUFFER, NO_SPAN, NO_LAG = 0.0, -1.0, 100000.0
+# Ticks a second, and numbers after which RTP sequence numbers start again.
 RTP_CLOCK = 90_000
+SEQ_RANGE = 1 << 16
 
 
 def statistics(value, prefix: str, default: float | None = None) -> list[Column]:
@@ -201,15 +204,20 @@ def clock_origin(kept: DataFrame) -> DataFrame:
 
 
 def rtp_features(
-    kept: DataFrame, window_us: int = SECOND_US, compat: bool = False
+    kept: DataFrame, window_us: int = SECOND_US, compat: bool = False, unwrap: bool = False
 ) -> DataFrame:
     """Header features per right-closed window.
 
     Packets are first reduced to one row per (window, RTP timestamp); everything else works on
-    those. ``compat`` gives the constant -1 for the packet-span statistics.
+    those. ``compat`` gives the constant -1 for the packet-span statistics. With
+    ``unwrap`` timestamps and sequence numbers run on where their counters start again.
     """
+    if unwrap:
+        kept = unwrap_clock(kept)
     seen = with_previous(kept, ["seq"], [1])
-    broken = F.coalesce((F.col("seq") - F.col("prev_1")["seq"]) != 1, F.lit(False))
+    step = F.col("seq") - F.col("prev_1")["seq"]
+    step = F.pmod(step, F.lit(SEQ_RANGE)) if unwrap else step
+    broken = F.coalesce(step != 1, F.lit(False))
     flagged = seen.select(
         *kept.columns, ((F.col("role") == "video") & broken).cast("int").alias("ooo")
     )
@@ -299,11 +307,12 @@ def rtp_ml_features(
     window_us: int = SECOND_US,
     groups: tuple[str, ...] = ("LSTATS", "TSTATS"),
     compat: bool = False,
+    unwrap: bool = False,
 ) -> DataFrame:
     kept = rtp_model_packets(packets, ptypes)
     narrow = kept.select(*[c for c in RTP_COLUMNS if c not in ("rtp_ts", "seq", "marker", "role")])
     packet = window_features(windowed_packets(narrow, window_us), groups, compat)
-    return join_rtp_features(packet, rtp_features(kept, window_us, compat))
+    return join_rtp_features(packet, rtp_features(kept, window_us, compat, unwrap))
 
 
 def sender_features(

@@ -23,6 +23,8 @@ from framelens.sources.settings import LOOKBACK, SIZE_TOLERANCE, by_app
 
 # Frames in the mean duration, and the gap that ends the warm-up.
 MEAN_FRAMES = 30
+# Fixed value: RTP timestamps start again at 0 after so many ticks.
+CLOCK_RANGE = 1 << 32
 WARM_UP_GAP_US = 8 * SECOND_US
 
 
@@ -105,6 +107,28 @@ def size_frames(assigned: DataFrame) -> DataFrame:
     )
 
 
+def unwrap_clock(packets: DataFrame) -> DataFrame:
+    """Let ``rtp_ts`` run on where its 32-bit counter starts again.
+
+    Between neighbouring packets the shorter way round counts, so late packets from before a turn go
+    back below it. A chunk's turns are one row; those of the chunks before are added to its own.
+    Video and its retransmissions share a clock and are taken together; other streams do not belong here.
+    """
+    half = CLOCK_RANGE // 2
+    step = F.col("rtp_ts") - F.col("prev_1")["rtp_ts"]
+    turn = F.when(step < -half, 1).when(step > half, -1).otherwise(0)
+    local = with_previous(packets, ["rtp_ts"], [1]).select(*packets.columns, turn.alias("_turn"))
+    chunks = local.groupBy(*KEYS).agg(F.sum("_turn").alias("_own"))
+    before = chunks.select(*KEYS, total_before("_own").alias("_before"))
+    own = F.sum("_turn").over(in_chunk().rowsBetween(Window.unboundedPreceding, 0))
+    return (
+        local.select("*", own.alias("_own"))
+        .join(before, KEYS)
+        .withColumn("rtp_ts", F.col("rtp_ts") + (F.col("_before") + F.col("_own")) * F.lit(CLOCK_RANGE))
+        .select(*packets.columns)
+    )
+
+
 def rtp_frames(packets: DataFrame) -> DataFrame:
     """One row per RTP timestamp that carries exactly one marker."""
     return (
@@ -172,12 +196,33 @@ def per_second(frames: DataFrame) -> DataFrame:
     )
 
 
-def frame_statistics(frames: DataFrame, tie: str, trim: bool = False) -> DataFrame:
-    """Durations, freezes and per-second quality of one frame table."""
+# Seconds of a trace that are listed in one array.
+SECONDS_AT_ONCE = 3_600
+
+
+def fill_empty_seconds(seconds: DataFrame) -> DataFrame:
+    """``per_second`` with a row for every second between a trace's first and last.
+
+    Seconds without a frame have no frames, bits and freezes, and no jitter. Seconds are listed in
+    bounded runs, so a trace of any length is spread over the tasks of the join.
+    """
+    ends = seconds.groupBy("trace_id", "vca").agg(F.min("ft_end").alias("_lo"), F.max("ft_end").alias("_hi"))
+    runs = ends.withColumn("_from", F.explode(F.sequence("_lo", "_hi", F.lit(SECONDS_AT_ONCE).cast("bigint"))))
+    last = F.least(F.col("_hi"), F.col("_from") + (SECONDS_AT_ONCE - 1))
+    every = runs.select("trace_id", "vca", F.explode(F.sequence("_from", last)).alias("ft_end"))
+    counts = ["predicted_framesReceivedPerSecond", "predicted_bitrate", "freeze_count", "freeze_dur"]
+    return (
+        every.join(seconds, ["trace_id", "vca", "ft_end"], "left").na.fill(0, counts).select(*seconds.columns)
+    )
+
+
+def frame_statistics(frames: DataFrame, tie: str, trim: bool = False, fill: bool = False) -> DataFrame:
+    """Durations, freezes and per-second quality of one frame table, with ``fill`` for every second."""
     timed = frame_durations(frames, tie)
     if trim:
         timed = drop_warm_up(timed)
-    return per_second(with_freezes(timed))
+    seconds = per_second(with_freezes(timed))
+    return fill_empty_seconds(seconds) if fill else seconds
 
 
 def last_packet_of_frame(packets: DataFrame, key: str = "rtp_ts") -> DataFrame:

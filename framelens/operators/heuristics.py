@@ -11,6 +11,7 @@ from framelens.operators.frames import (
     frame_statistics,
     rtp_frames,
     size_frames,
+    unwrap_clock,
 )
 
 PACKET_COLUMNS = ["trace_id", "vca", "chunk", "t_us", "pkt_ord", "epoch_us", "length"]
@@ -28,9 +29,11 @@ def size_heuristic_frames(packets: DataFrame) -> DataFrame:
     return size_frames(clean.strip_header(assign_frames(kept)))
 
 
-def ip_udp_heuristic(packets: DataFrame) -> DataFrame:
+def ip_udp_heuristic(packets: DataFrame, fill_empty_seconds: bool = False) -> DataFrame:
     """Per-second quality from packet sizes and times only."""
-    return frame_statistics(size_heuristic_frames(packets), tie="frame_num", trim=True)
+    return frame_statistics(
+        size_heuristic_frames(packets), tie="frame_num", trim=True, fill=fill_empty_seconds
+    )
 
 
 def received_rtp(packets: DataFrame) -> DataFrame:
@@ -39,14 +42,19 @@ def received_rtp(packets: DataFrame) -> DataFrame:
     return clean.keep_busiest(rows, population=packets)
 
 
-def rtp_heuristic_frames(packets: DataFrame, ptypes: DataFrame) -> DataFrame:
+def rtp_heuristic_frames(packets: DataFrame, ptypes: DataFrame, unwrap: bool = False) -> DataFrame:
     media = clean.video_sized(clean.media_packets(received_rtp(packets), ptypes))
+    media = unwrap_clock(media) if unwrap else media
     return rtp_frames(clean.strip_header(media))
 
 
-def rtp_heuristic(packets: DataFrame, ptypes: DataFrame) -> DataFrame:
+def rtp_heuristic(
+    packets: DataFrame, ptypes: DataFrame, fill_empty_seconds: bool = False, unwrap: bool = False
+) -> DataFrame:
     """Per-second quality from RTP timestamps and markers."""
-    return frame_statistics(rtp_heuristic_frames(packets, ptypes), tie="rtp_ts")
+    return frame_statistics(
+        rtp_heuristic_frames(packets, ptypes, unwrap), tie="rtp_ts", fill=fill_empty_seconds
+    )
 
 
 METRICS = ["framesReceivedPerSecond", "bitrate", "frame_jitter"]

@@ -362,7 +362,7 @@ def truth_ecdf(spark, sf_dir):
 
 def _unpivoted(inner: str) -> str:
     return f"""long as (
-  select metric, method, vca, parameter, setting, pred, gt from (
+  select metric, method, vca, trace_id, ts, parameter, setting, pred, gt from (
     select p.*, c.th, c.th_jitter, c.lat, c.lat_jitter, c.loss from pred p join cat c using (trace_id))
   unpivot (setting for parameter in ({inner})))"""
 
@@ -390,6 +390,28 @@ def parameter_sensitivity(spark, sf_dir):
     return errors.parameter_sensitivity(profiled(spark, sf_dir), PROFILE)
 
 
+WEIGHT = " + ".join(f"(number >= {c})::int" for c in errors.poisson_cuts())
+
+
+@query(
+    "bootstrap_sensitivity",
+    pred_sql(
+        "select metric, method, vca, parameter, setting, round(max(mae), 6) as mae, "
+        "round(quantile_cont(mean, 0.025), 6) as ci_low, round(quantile_cont(mean, 0.975), 6) as "
+        "ci_high, max(n) as n from (select metric, method, vca, parameter, setting, round, "
+        "case when sum(w) > 0 then sum(w * dev) / sum(w) end as mean, avg(dev) as mae, count(*) as n "
+        f"from (select *, {WEIGHT} as w from (select *, abs(pred - gt) as dev, "
+        "('0x' || substr(md5(concat_ws('|', metric, method, vca, trace_id, ts, round)), 1, 8))::bigint "
+        "as number from long, range(1, 101) r(round))) group by 6, 1, 2, 3, 4, 5) "
+        "group by 1, 2, 3, 4, 5",
+        CATALOG,
+        LONG,
+    ),
+)
+def bootstrap_sensitivity(spark, sf_dir):
+    return errors.bootstrap_sensitivity(profiled(spark, sf_dir), PROFILE)
+
+
 @query(
     "sensitivity_boxes",
     pred_sql(
@@ -870,6 +892,23 @@ def label_description(spark, sf_dir):
     return errors.describe(_labels_by_app(spark, sf_dir), ["vca"], "bitrate")
 
 
+@query(
+    "description_by_dataset",
+    pred_sql(
+        "select dataset, metric, method, side, count(*) as n, round(avg(value), 6) as mean, "
+        "round(stddev_samp(value), 6) as std, round(min(value), 6) as min, round(max(value), 6) as max, "
+        + quantile_sql("value", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+        + " from (select c.dataset, metric, method, unnest(['pred', 'gt']) as side, "
+        "unnest([pred, gt]) as value from pred p join cat c using (trace_id)) group by 1, 2, 3, 4",
+        CATALOG,
+    ),
+)
+def description_by_dataset(spark, sf_dir):
+    traces = view.traces(spark, sf_dir).drop("vca")
+    joined = errors.with_traces(predictions(spark, sf_dir), traces)
+    return errors.describe_both(joined, ["dataset", "metric", "method"])
+
+
 @query(
     "frames_with_large_packets",
     p.sql(

@@ -28,6 +28,24 @@ def rtp_heuristic(spark, sf_dir):
     return heuristics.rtp_heuristic(view.packets(spark, sf_dir), view.payload_types(spark))
 
 
+@query(
+    "ip_udp_heuristic_every_second",
+    p.sql(
+        [
+            *p.IP_SECONDS,
+            "ends as (select trace_id, vca, unnest(generate_series(min(ft_end), max(ft_end))) as ft_end "
+            "from ip_sec group by 1, 2)",
+        ],
+        "select trace_id, vca, ft_end, coalesce(fps, 0) as \"predicted_framesReceivedPerSecond\", "
+        "coalesce(bitrate, 0) as predicted_bitrate, round(jitter, 6) as predicted_frame_jitter, "
+        "coalesce(freeze_count, 0) as freeze_count, round(coalesce(freeze_dur, 0), 6) as freeze_dur "
+        "from ends left join ip_sec using (trace_id, vca, ft_end)",
+    ),
+)
+def ip_udp_heuristic_every_second(spark, sf_dir):
+    return heuristics.ip_udp_heuristic(view.packets(spark, sf_dir), fill_empty_seconds=True)
+
+
 @query(
     "clean_protocol",
     p.sql([p.PK, p.CL], "select trace_id, pkt_ord, ip_proto, length from cl"),
@@ -294,42 +312,33 @@ def window_features(spark, sf_dir):
 
 def _vector_sql(value: str) -> str:
     width = "case vca when 'teams' then 800 else 600 end"
-    heads = ", ".join(
-        f"round(coalesce(list_extract(vals, {i}), 0.0)::double, 6) as v{i}" for i in (1, 2, 3)
-    )
     return (
-        f'select trace_id, "interval", et, n, round(total::double, 6) as sum_all, {heads}, width '
-        f'from (select trace_id, vca, "interval", et, count(*) as n, sum({value}) as total, '
-        f"list({value} order by t_us, pkt_ord) as vals, {width} as width from win "
-        "group by 1, 2, 3, 4)"
+        f'select trace_id, "interval", et, n, array_to_string(list_resize(vals, {width}, 0), \',\') '
+        f'as vector from (select trace_id, vca, "interval", et, count(*) as n, '
+        f"list({value}::bigint order by t_us, pkt_ord) as vals from win group by 1, 2, 3, 4)"
     )
 
 
-def _vector_check(windowed, group: str, array: str):
-    """The padded vectors, condensed: sum, first three values and width."""
+def _vectors(windowed, group: str, array: str, scale: int = 1):
+    """The padded vectors, whole, as text of whole numbers."""
     counts = windowed.groupBy(*features.WINDOW).agg(F.count(F.lit(1)).alias("n"))
     vec = features.window_features(windowed, groups=(group,))
+    whole = F.transform(array, lambda x: F.round(x * scale).cast("bigint").cast("string"))
     return vec.join(counts, features.WINDOW).select(
-        "trace_id",
-        "interval",
-        "et",
-        "n",
-        F.aggregate(array, F.lit(0.0), lambda a, x: a + x).alias("sum_all"),
-        *[F.get(array, F.lit(i - 1)).alias(f"v{i}") for i in (1, 2, 3)],
-        F.size(array).alias("width"),
+        "trace_id", "interval", "et", "n", F.array_join(whole, ",").alias("vector")
     )
 
 
 @query("size_vectors", _anchor_sql(_vector_sql("length")))
 def size_vectors(spark, sf_dir):
     kept = features.model_packets(view.packets(spark, sf_dir))
-    return _vector_check(assign_windows(kept), "SIZE", "sizes")
+    return _vectors(assign_windows(kept), "SIZE", "sizes")
 
 
-@query("iat_vectors", _anchor_sql(_vector_sql("(iat_us / 1000)")))
+@query("iat_vectors", _anchor_sql(_vector_sql("iat_us")))
 def iat_vectors(spark, sf_dir):
     kept = features.model_packets(view.packets(spark, sf_dir))
-    return _vector_check(features.windowed_packets(kept), "IAT", "iats")
+    return _vectors(features.windowed_packets(kept), "IAT", "iats", 1000)
 
 
 @query(
@@ -367,3 +376,26 @@ def rtp_features(spark, sf_dir):
         view.packets(spark, sf_dir), view.payload_types(spark)
     )
     return features.rtp_features(kept)
+
+
+# Counters as they come over the wire; both start again about half-way through a trace.
+WRAPPED = {"rtp_ts": (frames.CLOCK_RANGE, 2_340_000), "seq": (features.SEQ_RANGE, 520)}
+
+
+def wrapped_counters(pk):
+    for c, (size, left) in WRAPPED.items():
+        pk = pk.withColumn(c, F.pmod(F.col(c) + (size - left), F.lit(size)))
+    return pk
+
+
+# The twins use the counters of the view, which never start again: both must give the same.
+@query("rtp_features_unwrapped", p.sql(RTP_WINDOWS, "select * from rf", recursive=True))
+def rtp_features_unwrapped(spark, sf_dir):
+    kept = features.rtp_model_packets(view.packets(spark, sf_dir), view.payload_types(spark))
+    return features.rtp_features(wrapped_counters(kept), unwrap=True)
+
+
+@query("rtp_heuristic_unwrapped", p.sql(p.RTP_SECONDS, f"select {SECOND_COLS} from rtp_sec"))
+def rtp_heuristic_unwrapped(spark, sf_dir):
+    pk = wrapped_counters(view.packets(spark, sf_dir))
+    return heuristics.rtp_heuristic(pk, view.payload_types(spark), unwrap=True)

@@ -113,3 +113,33 @@ def test_one_frame_second_has_no_jitter(spark):
     timed = frames.frame_durations(frame_table(spark, [100_000], 1_000_000), "frame_num")
     row = frames.per_second(frames.with_freezes(timed)).first()
     assert row["predicted_frame_jitter"] is None and row["ft_end"] == 1
+
+
+@pytest.mark.parametrize("span", [50_000, 300_000, 30_000_000])
+def test_clock_runs_on_over_turns(make_packets, span):
+    size = frames.CLOCK_RANGE
+    rng = random.Random(span)
+    true, t = size - 40_000, 0
+    rows = []
+    for _ in range(200):
+        # Ticks of a third of the range turn the counter many times; some packets are late.
+        true += rng.choice([0, 3_000, size // 3])
+        t += rng.randrange(1, 40_000)
+        rows.append((t, true - rng.choice([0, 0, 0, 90_000])))
+    pk = make_packets([{"t_us": t, "rtp_ts": x % size} for t, x in rows], span)
+    got = [r["rtp_ts"] for r in frames.unwrap_clock(pk).orderBy("t_us").collect()]
+    first = rows[0][1] - rows[0][1] % size
+    assert got == [x - first for _, x in rows]
+
+
+def test_empty_seconds_are_filled(spark):
+    df = spark.createDataFrame(
+        [(1, "meet", 5, 3, 800, 1.5, 1, 0.2), (1, "meet", 9_000, 2, 80, None, 0, 0.0), (2, "meet", 7, 1, 8, None, 0, 0.0)],
+        "trace_id long, vca string, ft_end long, predicted_framesReceivedPerSecond long, predicted_bitrate long, "
+        "predicted_frame_jitter double, freeze_count long, freeze_dur double",
+    )
+    full = {(r["trace_id"], r["ft_end"]): r for r in frames.fill_empty_seconds(df).collect()}
+    assert sorted(full) == [(1, s) for s in range(5, 9_001)] + [(2, 7)]
+    assert tuple(full[1, 5])[3:] == (3, 800, 1.5, 1, 0.2)
+    assert tuple(full[1, 6])[3:] == (0, 0, None, 0, 0.0)
+    assert frames.fill_empty_seconds(df.limit(0)).isEmpty()
