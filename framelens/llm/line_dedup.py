@@ -87,7 +87,10 @@ def index_keys(line: Column, size: Column) -> tuple[list[Column], list[int]]:
 def entries(lines: DataFrame) -> DataFrame:
     """(key, h1, enters) for every line."""
     keys, own = index_keys(F.col("line"), F.col("size"))
-    return lines.select("h1", F.posexplode(F.array(*keys)).alias("place", "key")).select(
+    # Keys are columns first: made inside the explosion they grow to one method that the JVM does not compile.
+    named = [f"key_{i}" for i in range(len(keys))]
+    made = lines.select("h1", *[key.alias(name) for key, name in zip(keys, named, strict=True)])
+    return made.select("h1", F.posexplode(F.array(*named)).alias("place", "key")).select(
         "key", "h1", F.col("place").isin(own).alias("enters")
     )
 
