@@ -8,9 +8,14 @@ of its places left out finds every such pair. At similarity 0.75 a signature dif
 average; more than RADIUS happens about once in 10^5 pairs that have no other link.
 
 Only components are asked for, so pairs known to be in one component are not compared:
-1. every document is confirmed against the one with the least id of its most shared buckets;
-2. within a bucket only signatures of different components so far are compared, in blocks of bounded
-   size, and each pair in the first bucket it shares; what is within RADIUS is confirmed on full sets.
+1. every document is confirmed against the hub of its most shared buckets, which is the member that meets
+   most others in all its buckets;
+2. within a bucket only signatures of different components so far are compared, in blocks of bounded size;
+   each document is confirmed against the nearest one of another component, a single one each;
+3. what is still of different components, each pair in the first bucket it shares, is confirmed too.
+Steps 2 and 3 compare documents that share a bucket without being linked, often the variants of one text.
+Their signatures are lengthened by MORE one-byte symbols first: sets of unlike sizes, and pairs that differ
+in over FAR of all SYMBOLS + MORE places (a link does about once in 10^5), go no further.
 Full sets meet in tiles of bounded size: a document travels once to each tile pair that needs it, and a
 tile emits the links of a forest, not all links.
 
@@ -18,7 +23,8 @@ Nulls: texts that are null or without words have an empty set and no links. A do
 text and goes by a hash of the two until the answer is given: rows with a null id, or with one id, are
 documents of their own if their texts differ (null ids after all others, else in the order of that hash),
 and get the same answer if they don't. A component of null ids only has a null component_id, but one row
-of it is kept. An empty table gives no rows.
+of it is kept. In the report every row whose doc_id names the component is kept; the stage that leaves
+copies out keeps one document of each component. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,13 +45,16 @@ SHINGLE = 5
 SIMILAR = (75, 100)
 SYMBOLS, CHUNKS, RADIUS = 64, 16, 31
 PER_CHUNK, ERRORS = SYMBOLS // CHUNKS, RADIUS // CHUNKS
-BLOCK = 1024
+# One-byte symbols added for documents that share buckets, and the distance beyond which pairs are no links.
+MORE, FAR = 192, 94
+# Documents of a tile, whose full sets are held at once, and rows of a block of a bucket.
+BLOCK, BUCKET_BLOCK = 1024, 4096
 # Up to so many ids (16 MB) are sent to all executors in place of moving all texts.
 MANY = 1_000_000
 NO_ID = (1 << 63) - 1
 
-_FACTORS = np.array([int(xxhash.xxh64_intdigest(b"f%d" % i)) | 1 for i in range(SYMBOLS)], np.uint64)
-_OFFSETS = np.array([int(xxhash.xxh64_intdigest(b"o%d" % i)) for i in range(SYMBOLS)], np.uint64)
+_FACTORS = np.array([int(xxhash.xxh64_intdigest(b"f%d" % i)) | 1 for i in range(SYMBOLS + MORE)], np.uint64)
+_OFFSETS = np.array([int(xxhash.xxh64_intdigest(b"o%d" % i)) for i in range(SYMBOLS + MORE)], np.uint64)
 _PLACES = np.array([int(xxhash.xxh64_intdigest(b"p%d" % i)) | 1 for i in range(SHINGLE)], np.uint64)
 
 
@@ -65,11 +74,21 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(hashes: np.ndarray) -> bytes:
-    least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
+def _least_hashes(hashes: np.ndarray, first: int, last: int) -> np.ndarray:
+    """For each of these hash functions the mixed least hash of the set."""
+    least = np.full(last - first, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):  # bounds the memory of long texts
-        np.minimum(least, (hashes[at : at + 2048, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
-    return ((least * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype("<u2").tobytes()
+        some = hashes[at : at + 2048, None] * _FACTORS[first:last] + _OFFSETS[first:last]
+        np.minimum(least, some.min(axis=0), out=least)
+    return least * np.uint64(0xD6E8FEB86659FD93)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    return (_least_hashes(hashes, 0, SYMBOLS) >> np.uint64(48)).astype("<u2").tobytes()
+
+
+def more_symbols(hashes: np.ndarray) -> bytes:
+    return (_least_hashes(hashes, SYMBOLS, SYMBOLS + MORE) >> np.uint64(56)).astype("u1").tobytes()
 
 
 def digest(hashes: np.ndarray) -> bytes:
@@ -157,41 +176,98 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def near_pairs(members: DataFrame) -> DataFrame:
-    """Candidates within RADIUS, of different labels, each in the first bucket that the two share.
+def longer(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and further symbols of the documents named by a stored table."""
 
-    members: key, id, label, star, block, signature. One row per document and tile pair: the tile pair, the
-    document, its partners, nearest first, and `fresh`, those of them that the bucket has not named for this
-    tile pair before, so that a document is sent for once and not once a pair.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks = [more_symbols(shingles(text.as_py())) for text in batch["text"]]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(marks, pa.binary())], ["id", "more"])
+
+    texts = _with_id(docs).join(small(ids, MANY), "id").select("id", "text")
+    return texts.mapInArrow(run, "id long, more binary").groupBy("id").agg(F.min("more").alias("more"))
+
+
+def _blocks(members: DataFrame, *columns: str) -> DataFrame:
+    """Members of a bucket, dealt to all pairs (lo, hi) of its blocks of about BUCKET_BLOCK rows."""
     many = Window.partitionBy("key")
-    blocks = F.ceil(F.count("*").over(many) / BLOCK).cast("int")
+    blocks = F.ceil(F.count("*").over(many) / BUCKET_BLOCK).cast("int")
     dealt = members.withColumn("parts", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "id", "label", "star", "block", "signature"
+    return (
+        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", *columns)
+        .repartition("key", "lo", "hi")
+        .sortWithinPartitions("key", "lo", "hi", "id")
     )
 
+
+def _near(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per row of a block pair: the row, later rows of other labels that may be links, their wrong symbols
+    and distances."""
+    marks = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
+    more = np.frombuffer(b"".join(table["more"].to_pylist()), "u1").reshape(-1, MORE)
+    labels, sizes, part = (table[c].to_numpy() for c in ("label", "n_shingles", "part"))
+    across = table["lo"][0].as_py() != table["hi"][0].as_py()
+    percent, whole = SIMILAR
+    for i in range(len(marks) - 1):
+        fit = labels[i + 1 :] != labels[i]
+        if across:
+            fit &= part[i + 1 :] != part[i]
+        fit &= whole * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i])
+        others = np.flatnonzero(fit) + i + 1
+        if not len(others):
+            continue
+        wrong = marks[others] != marks[i]
+        far = wrong.sum(axis=1)
+        near = far <= RADIUS
+        others, wrong, far = others[near], wrong[near], far[near]
+        far += (more[others] != more[i]).sum(axis=1)
+        near = far <= FAR
+        if near.any():
+            yield i, others[near], wrong[near], far[near]
+
+
+LEFT = ("id", "label", "n_shingles", "signature", "more")
+
+
+def nearest(members: DataFrame) -> DataFrame:
+    """(id, center): for each document the nearest candidate of another label in any of its buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, ["key", "lo", "hi"]):
+            ids = table["id"].to_numpy()
+            least, which = np.full(len(ids), SYMBOLS + MORE + 1), np.zeros(len(ids), np.int64)
+            for i, others, _, far in _near(table):
+                at = np.argmin(far)
+                if far[at] < least[i]:
+                    least[i], which[i] = far[at], others[at]
+                closer = far < least[others]
+                least[others[closer]], which[others[closer]] = far[closer], i
+            have = np.flatnonzero(least <= FAR)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[have]), pa.array(least[have]), pa.array(ids[which[have]])], ["id", "far", "center"]
+            )
+
+    found = _blocks(members, *LEFT).mapInArrow(run, "id long, far long, center long")
+    return found.groupBy("id").agg(F.min(F.struct("far", "center")).alias("least")).select("id", "least.center")
+
+
+def near_pairs(members: DataFrame) -> DataFrame:
+    """Candidates of different labels, each in the first bucket that the two share.
+
+    members: key, id, label, n_shingles, star, block, signature, more. One row per document and tile pair:
+    the tile pair, the document, its partners, nearest first, and `fresh`, those of them that the bucket has
+    not named for this tile pair before, so that a document is sent for once and not once a pair.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for table in _runs(batches, ["key", "lo", "hi"]):
-            marks = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u2").reshape(-1, SYMBOLS)
-            ids, labels, star, block, part = (table[c].to_numpy() for c in ("id", "label", "star", "block", "part"))
+            ids, star, block = (table[c].to_numpy() for c in ("id", "star", "block"))
             place = int(table["key"][0].as_py()) >> 48
             named: dict[tuple, set[int]] = {}
-            across = table["lo"][0].as_py() != table["hi"][0].as_py()
-            for i in range(len(ids) - 1):
-                fit = labels[i + 1 :] != labels[i]
-                if across:
-                    fit &= part[i + 1 :] != part[i]
-                others = np.flatnonzero(fit) + i + 1
-                if not len(others):
-                    continue
-                wrong = marks[others] != marks[i]
-                far = wrong.sum(axis=1)
-                near = far <= RADIUS
-                others, wrong, far = others[near], wrong[near].reshape(-1, CHUNKS, PER_CHUNK), far[near]
-                if not len(others):
-                    continue
+            for i, others, wrong, far in _near(table):
+                wrong = wrong.reshape(-1, CHUNKS, PER_CHUNK)
                 errors = wrong.sum(axis=2)
                 first = np.argmax(errors <= ERRORS, axis=1)
                 at = np.arange(len(others))
@@ -214,10 +290,8 @@ def near_pairs(members: DataFrame) -> DataFrame:
                 rows = []
         yield pa.RecordBatch.from_pylist(rows, PAIR_SCHEMA)
 
-    return (
-        dealt.repartition("key", "lo", "hi")
-        .sortWithinPartitions("key", "lo", "hi", "id")
-        .mapInArrow(run, f"{TILES}, id long, partners array<long>, fresh array<long>")
+    return _blocks(members, *LEFT, "star", "block").mapInArrow(
+        run, f"{TILES}, id long, partners array<long>, fresh array<long>"
     )
 
 
@@ -287,34 +361,59 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges (id, center) with the tile each is confirmed in."""
+    sizes = edges.groupBy("center").agg(F.count("*").alias("size"))
+    return edges.join(sizes, "center").select("id", "center", *_tile("center", "id", "size"))
+
+
+def _confirmed_stars(docs: DataFrame, stars: DataFrame) -> DataFrame:
+    tiles = [F.col("star").alias("star_a"), F.col("block").alias("block_a"), F.col("star").alias("star_b"), F.col("block").alias("block_b")]
+    return confirmed(docs, stars.select(*tiles, "id", F.array("center").alias("partners"), F.array("id", "center").alias("fresh")))
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members under their labels so far, of those buckets alone that hold more than one."""
+    marked = members.join(labels, F.col("id") == F.col("node"), "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+    return marked.join(mixed, "key", "left_semi")
+
+
 def _judged(docs: DataFrame) -> DataFrame:
     """id, doc_id, n_shingles, component_id and kept of every row."""
     rows = stored(signatures(docs), "signatures")
-    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(F.struct(_rank().alias("rank"), "signature")).alias("first"))
-    reps = stored(sets.select("set_key", "first.rank.id", "first.rank.doc_id", "first.signature"), "sets")
+    sets = rows.where("n_shingles > 0").groupBy("set_key").agg(
+        F.min(F.struct(_rank().alias("rank"), "signature", "n_shingles")).alias("first")
+    )
+    reps = stored(
+        sets.select("set_key", "first.rank.id", "first.rank.doc_id", "first.signature", "first.n_shingles"), "sets"
+    )
 
     bucket = Window.partitionBy("key")
-    members = stored(
-        chunk_keys(reps)
-        .select("key", "id", F.count("*").over(bucket).alias("n"), F.min("id").over(bucket).alias("center"))
-        .where("n > 1")
-        .drop("n"),
-        "members",
+    members = stored(chunk_keys(reps).withColumn("n", F.count("*").over(bucket)).where("n > 1"), "members")
+    # How many others a document meets in its buckets; who meets most is likely to be near most of them.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("least"))).alias("hub"))
+    shared = (
+        members.join(hubs.select("key", (-F.col("hub.least")).alias("center")), "key")
+        .where("id != center")
+        .groupBy("id", "center")
+        .agg(F.count("*").alias("n"))
     )
-    shared = members.where("id != center").groupBy("id", "center").agg(F.count("*").alias("n"))
     stars = shared.groupBy("id").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center"))
-    sizes = stars.groupBy("center").agg(F.count("*").alias("size"))
-    stars = stored(stars.join(sizes, "center").select("id", "center", *_tile("center", "id", "size")), "stars")
-    tiles = [F.col("star").alias("star_a"), F.col("block").alias("block_a"), F.col("star").alias("star_b"), F.col("block").alias("block_b")]
-    links = stored(confirmed(docs, stars.select(*tiles, "id", F.array("center").alias("partners"), F.array("id", "center").alias("fresh"))), "links")
-    labels = components(links)
+    stars = stored(_stars(stars), "stars")
+    links = stored(_confirmed_stars(docs, stars), "links")
 
     # What is left: buckets that hold more than one component so far.
-    marked = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-    left = marked.join(mixed, "key", "left_semi")
-    left = left.join(stars.select("id", "star", "block"), "id", "left").join(reps.select("id", "signature"), "id")
-    left = left.withColumn("star", F.coalesce("star", "id")).withColumn("block", F.coalesce("block", F.lit(0)))
+    left = stored(_apart(members.select("key", "id"), components(links)), "left")
+    ids = stored(left.select("id").distinct(), "ids")
+    known = reps.select("id", "signature", "n_shingles").join(longer(docs, ids), "id")
+    known = known.join(stars.select("id", "star", "block"), "id", "left")
+    known = known.withColumn("star", F.coalesce("star", "id")).withColumn("block", F.coalesce("block", F.lit(0)))
+    left = stored(left.join(known, "id"), "left")
+    near = stored(_stars(nearest(left)), "nearest")
+    links = stored(links.unionByName(_confirmed_stars(docs, near)), "links")
+    left = _apart(left.drop("label"), components(links))
     more = confirmed(docs, stored(near_pairs(left), "pairs"))
     final = components(links.unionByName(more))
 
@@ -338,7 +437,8 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    return _judged(docs).drop("id")
+    named = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept"))
+    return _judged(docs).withColumn("kept", named).drop("id")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
