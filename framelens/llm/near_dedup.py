@@ -49,6 +49,8 @@ PER_CHUNK, ERRORS = SYMBOLS // CHUNKS, RADIUS // CHUNKS
 MORE, FAR = 192, 94
 # Documents of a tile, whose full sets are held at once, and rows of a block of a bucket.
 BLOCK, BUCKET_BLOCK = 1024, 4096
+# Names of documents that a task remembers having sent for; beyond it some are sent for again.
+NAMED = 1_000_000
 # Up to so many ids (16 MB) are sent to all executors in place of moving all texts.
 MANY = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -256,16 +258,19 @@ def near_pairs(members: DataFrame) -> DataFrame:
     """Candidates of different labels, each in the first bucket that the two share.
 
     members: key, id, label, n_shingles, star, block, signature, more. One row per document and tile pair:
-    the tile pair, the document, its partners, nearest first, and `fresh`, those of them that the bucket has
-    not named for this tile pair before, so that a document is sent for once and not once a pair.
+    the tile pair, the document, its partners, nearest first, and `fresh`, those of them that the task has
+    not named for this tile pair before, so that a document is sent for once and not once a pair or bucket.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
+        named: dict[tuple, set[int]] = {}
+        n_named = 0
         for table in _runs(batches, ["key", "lo", "hi"]):
+            if n_named > NAMED:
+                named, n_named = {}, 0
             ids, star, block = (table[c].to_numpy() for c in ("id", "star", "block"))
             place = int(table["key"][0].as_py()) >> 48
-            named: dict[tuple, set[int]] = {}
             for i, others, wrong, far in _near(table):
                 wrong = wrong.reshape(-1, CHUNKS, PER_CHUNK)
                 errors = wrong.sum(axis=2)
@@ -281,6 +286,7 @@ def near_pairs(members: DataFrame) -> DataFrame:
                     known = named.setdefault((*a, *b), set())
                     fresh = {int(ids[i]), *ids[inside].tolist()} - known
                     known |= fresh
+                    n_named += len(fresh)
                     rows.append(
                         dict(zip(TILE, (*a, *b), strict=True))
                         | {"id": ids[i], "partners": ids[inside].tolist(), "fresh": list(fresh)}
