@@ -285,6 +285,29 @@ def test_near_components_against_all_pairs(spark, empty):
     assert not near_dedup.near_components(empty).collect()
 
 
+def test_variants_of_one_text_in_small_blocks(spark, monkeypatch):
+    """Texts with up to eight words changed, linked or not, against all pairs; blocks far below the usual size."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 20)
+    rng = random.Random(5)
+    base = [rng.choice("abcdefghijklmnop") + str(rng.randint(0, 999)) for _ in range(120)]
+    texts = []
+    for i in range(120):
+        edits = rng.sample(range(120), i % 9)
+        texts.append([f"x{i}" if k in edits else w for k, w in enumerate(base)])
+    sets = [{tuple(t[k : k + 5]) for k in range(116)} for t in texts]
+    label = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    assert 1 < len(set(label)) < 120
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label))
+
+
 def test_every_pair_within_the_radius_shares_a_key():
     rng = np.random.default_rng(1)
     for _ in range(300):
