@@ -21,6 +21,8 @@ BOX = {"p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90}
 FPS_TOLERANCE = 2
 BITRATE_TOLERANCE = 50_000
 RELATIVE_TOLERANCE = 0.25
+# Partitions for work that is many times larger than its input.
+DEALT = 240
 
 
 def with_deviation(predictions: DataFrame) -> DataFrame:
@@ -236,35 +238,61 @@ def poisson_cuts() -> list[int]:
     return cuts
 
 
+def _poisson(digest: str) -> Column:
+    """Draws by the first 32 bits of a hash in hexadecimal, whose digits sort as the numbers do."""
+    cuts = poisson_cuts()
+    draw = F.when(F.col(digest) < f"{cuts[0]:08x}", 0)
+    for k, cut in enumerate(cuts[1:], 1):
+        draw = draw.when(F.col(digest) < f"{cut:08x}", k)
+    return draw.otherwise(len(cuts))
+
+
 def bootstrap_sensitivity(
     predictions: DataFrame, profile: list[str], keys=("metric", "method", "vca"), rounds: int = 100
 ) -> DataFrame:
     """Mean absolute error with a 95 % bootstrap interval for every value of every network parameter.
 
     Each round weighs every predicted second by a Poisson(1) draw, taken from a hash of the second and
-    the round, so bounds repeat. Weighted sums are combined on the map side into one row per
-    round and group; bounds are quantiles of the rounds' means. A group that a round leaves without
-    weight has no mean there.
+    the round, so bounds repeat. A draw serves all parameters: seconds are drawn once a round and added up
+    per minute of a trace before parameters become rows. Bounds are quantiles of the
+    rounds' means. A group that a round leaves without weight has no mean there.
     """
     keys = list(keys)
-    long = with_deviation(predictions).unpivot(
-        [*keys, "trace_id", "ts", "abs_dev"], profile, "parameter", "setting"
-    )
     group = [*keys, "parameter", "setting"]
-    drawn = long.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    place = F.concat_ws("|", *keys, "trace_id", "ts", "round")
-    number = F.conv(F.substring(F.md5(place), 1, 8), 16, 10).cast("bigint")
-    weight = reduce(lambda a, b: a + b, [(F.col("number") >= c).cast("int") for c in poisson_cuts()])
-    means = (
-        drawn.select(*group, "round", "abs_dev", number.alias("number"))
-        .select(*group, "round", "abs_dev", weight.alias("w"))
-        .groupBy(*group, "round")
+    # Small rows make many: dealt out by number before that, as they would be put together by size.
+    place = [*keys, "trace_id", "_minute"]
+    dealt = (
+        with_deviation(predictions)
+        .withColumn("_minute", F.call_function("div", F.col("ts"), F.lit(60)))
+        .repartition(DEALT, *place)
+    )
+    drawn = dealt.select(
+        *place,
+        "ts",
+        *profile,
+        "abs_dev",
+        F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"),
+    )
+    of_minute = (
+        drawn.withColumn("_hash", F.md5(F.concat_ws("|", *keys, "trace_id", "ts", "round")))
+        .withColumn("w", _poisson("_hash"))
+        .groupBy(*place, *profile, "round")
         .agg(
-            F.try_divide(F.sum(F.col("w") * F.col("abs_dev")), F.sum("w")).alias("mean"),
+            F.sum(F.col("w") * F.col("abs_dev")).alias("weighted"),
+            F.sum("w").alias("weight"),
             F.sum("abs_dev").alias("total"),
             F.count(F.lit(1)).alias("n"),
         )
     )
+    means = (
+        of_minute.unpivot([*keys, "round", "weighted", "weight", "total", "n"], profile, "parameter", "setting")
+        .groupBy(*group, "round")
+        .agg(
+            F.try_divide(F.sum("weighted"), F.sum("weight")).alias("mean"),
+            F.sum("total").alias("total"),
+            F.sum("n").alias("n"),
+        )
+    )
     return means.groupBy(*group).agg(
         (F.max("total") / F.max("n")).alias("mae"),
         F.percentile("mean", F.lit(0.025)).alias("ci_low"),

@@ -50,6 +50,20 @@ def test_bootstrap_against_a_loop(spark):
         assert got[side]["ci_low"] < got[side]["mae"] < got[side]["ci_high"]
 
 
+def test_bootstrap_draws_once_for_all_parameters(spark):
+    """Rounds times seconds are drawn and hashed, however many parameters there are."""
+    rows = table(spark, [("bitrate", "m", "meet", i % 3, i, 1.0 * i, 2.0, i % 2) for i in range(40)])
+    profile = ["loss", "lat", "th"]
+    one = rows.withColumns({"lat": rows.loss, "th": rows.loss})
+    found = errors.bootstrap_sensitivity(one, profile)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    at = {k: min(i for i, line in enumerate(plan.splitlines()) if k in line) for k in ("md5(", "Expand")}
+    # Plans are printed from the result down to the input.
+    assert at["Expand"] < at["md5("]
+    got = {tuple(r)[3:] for r in found.collect()}
+    assert {g[0] for g in got} == set(profile) and len({g[1:] for g in got}) == 2
+
+
 def test_accuracy_of_every_frame_metric(spark):
     rows = [(m, "m", "meet", 1, t, float(t), 3.0, 0) for m in (*errors.FRAME_METRICS, "bitrate") for t in range(10)]
     got = {r["metric"]: r["accuracy"] for r in errors.macro_scores(table(spark, rows)).collect()}
