@@ -42,6 +42,22 @@ def model_input(rows: DataFrame, metric: str) -> tuple[DataFrame, list[str]]:
     ), names
 
 
+def cross_input(rows: DataFrame, metric: str) -> DataFrame:
+    """vca, trace_id, ts, fold, the target ``gt`` and all features in one array ``x``, of complete rows."""
+    names = feature_columns(rows, METRICS)
+    types = dict(rows.dtypes)
+    parts = [F.col(c) if types[c].startswith("array") else F.array(c) for c in names]
+    target = F.col(metric).cast("double")
+    return rows.dropna(subset=[*names, metric]).select(
+        "vca",
+        "trace_id",
+        F.col("et").alias("ts"),
+        F.col("fold").cast("int").alias("fold"),
+        (round_half_even(target) if metric in ROUNDED else target).alias("gt"),
+        F.concat(*[c.cast("array<double>") for c in parts]).alias("x"),
+    )
+
+
 def forest(metric: str, names: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 1):
     """A regressor on all features, or a classifier on the square root of them per split."""
     assemble = VectorAssembler(inputCols=names, outputCol="_x")

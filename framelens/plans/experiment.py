@@ -9,7 +9,8 @@ from itertools import product
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelens.operators import errors, features, heuristics, learn, splits
+from framelens.functions import round_half_even
+from framelens.operators import errors, features, grove, heuristics, learn, splits
 from framelens.operators.validate import valid_traces, validate
 from framelens.sources import tables
 from framelens.sources.catalog import trial_id
@@ -163,17 +164,21 @@ def cross_validated(rows: DataFrame, metric: str, method: str, **forest) -> tupl
     folds, and the importances of all models. ``rows`` has ``fold`` and is stored; folds without training
     rows give none.
     """
-    keys = [(r["vca"], r["fold"]) for r in rows.select("vca", "fold").distinct().orderBy("vca", "fold").collect()]
-    of = F.col("vca")
-    train = {(v, k): rows.where((of == v) & (F.col("fold") != k)) for v, k in keys}
-    models = learn.fit_many(train, metric, parallelism=8, **forest)
-    empty = rows.sparkSession.createDataFrame
-    found, scores = [empty([], f"{learn.PREDICTIONS}, fold int")], [empty([], learn.IMPORTANCES)]
-    for (vca, fold), model in models.items():
-        test = rows.where((of == vca) & (F.col("fold") == fold))
-        found.append(learn.predict(model, test, metric, method).withColumn("fold", F.lit(int(fold))))
-        scores.append(learn.importances(model, train[vca, fold], metric, method, int(fold), vca))
-    return errors.all_results(found), errors.all_results(scores)
+    given = learn.cross_input(rows, metric)
+    options = {"trees": learn.TREES, "depth": learn.DEPTH, "bins": learn.BINS, "seed": 1} | forest
+    found, gains = grove.cross_predicted(given, metric in learn.CLASSES, **options)
+    pred = round_half_even("pred") if metric in learn.ROUNDED else F.col("pred")
+    trial = [F.lit(metric).alias("metric"), F.lit(method).alias("method")]
+    predictions = found.select(*trial, "vca", "trace_id", "ts", pred.alias("pred"), "gt", "fold")
+    names = _names(rows)
+    return predictions, gains.join(names, ["vca", "pos"]).select(*trial, "fold", "vca", "feature", "score")
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """The name of every feature position of every application."""
+    apps = [r["vca"] for r in rows.select("vca").distinct().collect()]
+    named = [(v, i, n) for v in apps for i, n in enumerate(learn.feature_names(rows.where(F.col("vca") == v)))]
+    return rows.sparkSession.createDataFrame(named, "vca string, pos int, feature string")
 
 
 def window_sweep(
