@@ -91,16 +91,19 @@ def active_streams(rows: DataFrame) -> DataFrame:
     return rows.select("trace_id", "pc", "stream").distinct()
 
 
-def most_active(rows: DataFrame) -> DataFrame:
-    """The stream used per dump: first connection with a candidate, most frames, then first seen."""
-    frames = F.when(
+def _frames() -> Column:
+    return F.when(
         F.col("stat") == "framesPerSecond",
         F.aggregate(
             "vals", F.lit(0.0), lambda a, v: a + v.try_cast("double")
         ),
     )
+
+
+def most_active(rows: DataFrame) -> DataFrame:
+    """The stream used per dump: first connection with a candidate, most frames, then first seen."""
     per_stream = rows.groupBy("trace_id", "pc", "stream").agg(
-        F.sum(frames).alias("frames"),
+        F.sum(_frames()).alias("frames"),
         F.max((F.col("stat") == "framesPerSecond").cast("int")).alias("has"),
         F.min("pos").alias("seen"),
     )
@@ -119,8 +122,19 @@ def most_active(rows: DataFrame) -> DataFrame:
 
 def chosen_stats(rows: DataFrame) -> DataFrame:
     """The wanted statistics of the chosen stream, running totals turned into steps."""
-    chosen = most_active(rows).select("trace_id", "pc", "stream")
-    wanted = rows.join(chosen, ["trace_id", "pc", "stream"]).where(F.col("stat").isin(STATS))
+    # As ``most_active``, over the few statistics of one dump, so that dumps are parsed and moved once.
+    stream, dump = Window.partitionBy("trace_id", "pc", "stream"), Window.partitionBy("trace_id")
+    has = F.max((F.col("stat") == "framesPerSecond").cast("int")).over(stream)
+    place = F.struct(
+        "pc", (-F.coalesce(F.sum(_frames()).over(stream), F.lit(0.0))).alias("less"), F.min("pos").over(stream).alias("seen")
+    )
+    wanted = (
+        rows.where(F.col("trace_id").isNotNull())
+        .repartition("trace_id")
+        .withColumn("_place", F.when(has == 1, place))
+        .withColumn("_best", F.min("_place").over(dump))
+        .where((F.col("_place") == F.col("_best")) & F.col("stat").isin(STATS))
+    )
     steps = F.transform(
         "vals",
         lambda v, i: F.when(i == 0, v).otherwise(

@@ -133,3 +133,10 @@ def test_validation_reasons(spark, make_packets):
         8: "no video packets",
         9: None,
     }
+
+
+def test_labels_parse_every_dump_once(spark):
+    """The chosen stream comes from the same parsed statistics, not from a second pass joined to them."""
+    bodies = spark.range(2).selectExpr("id as trace_id", "'{}' as body")
+    plan = dumps.chosen_stats(dumps.stat_rows(bodies))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Range (") == 1
