@@ -52,53 +52,56 @@ def channels(y: np.ndarray, w: np.ndarray, classes: int) -> np.ndarray:
     return np.stack([w * (y == c) for c in range(classes)] if classes else [w, w * y])
 
 
-def histogram(node: np.ndarray, bins: np.ndarray, stats: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Sums per channel, node and bin."""
-    cell = node * width + bins
-    return np.stack([np.bincount(cell, s, n * width).reshape(n, width) for s in stats])
-
-
-def _dense(node, bins, stats, n, width, whole, classes):
-    """The best cut of one feature in every node: (gain over the node's score, last bin on the left)."""
-    left = histogram(node, bins, stats, n, width).cumsum(2)[:, :, :-1]
-    rest = whole[:, :, None] - left
-    weigh = (lambda s: s.sum(0)) if classes else (lambda s: s[0])
-    # Weights are whole numbers, so a part without rows weighs exactly 0.
+def _explained(left: list[np.ndarray], rest: list[np.ndarray], classes: int) -> np.ndarray:
+    """``score`` of both parts, added. Weights are whole numbers, so a part without rows weighs 0 and gives 0."""
+    found = 0.0
+    for side in (left, rest):
+        total = sum(side[1:], side[0]) if classes else side[0]
+        squares = sum((s * s for s in side[1:]), side[0] * side[0]) if classes else side[1] * side[1]
+        found = found + squares / np.maximum(total, 1.0)
+    return found
+
+
+def _dense(node, bins, stats, n, width, whole, classes, top):
+    """The best cut of one feature in every node, from sums per bin and node: (score of both sides, last bin on
+    the left). Where it is no better than ``top``, the bin says nothing."""
+    cell = bins * np.int64(n) + node
+    left = [np.bincount(cell, s, n * width).reshape(width, n)[:-1].cumsum(0) for s in stats]
+    rest = [t - s for t, s in zip(whole, left)]
+    weigh = (lambda parts: sum(parts)) if classes else (lambda parts: parts[0])
     fits = (weigh(left) > 0.5) & (weigh(rest) > 0.5)
-    found = np.where(fits, score(left, classes) + score(rest, classes), -np.inf)
-    cut = found.argmax(1)
-    return found[np.arange(n), cut], cut
-
-
-def _sorted(node: np.ndarray, bins: np.ndarray, n: int) -> np.ndarray:
-    """Rows by node and bin, in passes over 16 bits at most, for which numpy counts instead of comparing."""
-    order = np.argsort(bins, kind="stable")
-    for shift in range(0, max(n - 1, 1).bit_length(), 16):
-        digit = ((node >> shift) & 0xFFFF).astype(np.uint16)
-        order = order[np.argsort(digit[order], kind="stable")]
-    return order
+    found = np.where(fits, _explained(left, rest, classes), -np.inf)
+    best, cut = found.max(0), np.zeros(n, dtype=np.int64)
+    better = np.flatnonzero(best > top)
+    cut[better] = found[:, better].argmax(0)
+    return best, cut
 
 
-def _sparse(node, bins, stats, n, width, whole, classes):
+def _sparse(node, bins, stats, n, width, whole, classes, top):
     """The same where most bins of most nodes are empty: only bins with rows are looked at."""
-    cell = node * width + bins
-    order = _sorted(node, bins, n)
-    cell = cell[order]
-    last = np.flatnonzero(np.append(cell[1:] != cell[:-1], True))
-    at, run = cell[last] // width, stats[:, order].cumsum(1)[:, last]
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    of = np.cumsum(np.append(False, at[1:] != at[:-1]))
-    before = np.concatenate([np.zeros((len(stats), 1)), run[:, first[1:] - 1]], 1)
-    left = run - before[:, of]
-    rest = whole[:, at] - left
-    found = score(left, classes) + score(rest, classes)
-    # The last bin of a node leaves nothing on the right.
-    found[np.append(first[1:] - 1, len(at) - 1)] = -np.inf
-    best = np.full(n, -np.inf)
-    best[at[first]] = np.maximum.reduceat(found, first)
-    hit = np.flatnonzero(found == best[at])[::-1]
-    cut = np.zeros(n, dtype=np.int64)
-    cut[at[hit]] = cell[last][hit] % width
+    low, high = len(node).bit_length(), (width - 1).bit_length()
+    # Sorted by node and bin; the row itself in the lower bits.
+    keys = np.sort((node << (high + low)) | (bins.astype(np.int64) << low) | np.arange(len(node)))
+    order, cell = keys & ((1 << low) - 1), keys >> low
+    at = cell >> high
+    # The last row of a bin, unless it is the last of its node.
+    last = np.flatnonzero((cell[1:] != cell[:-1]) & (at[1:] == at[:-1]))
+    best, cut = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+    if not len(last):
+        return best, cut
+    begun = np.flatnonzero(at[1:] != at[:-1])
+    own, ended = at[last], at[begun + 1]
+    left, rest = [], []
+    for s, t in zip(stats, whole):
+        run, before = s.take(order).cumsum(), np.zeros(n)
+        before[ended] = run[begun]
+        left.append(run[last] - before[own])
+        rest.append(t[own] - left[-1])
+    found = _explained(left, rest, classes)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    best[own[first]] = np.maximum.reduceat(found, first)
+    hit = np.flatnonzero((found == best[own]) & (best > top)[own])[::-1]
+    cut[own[hit]] = cell[last[hit]] & ((1 << high) - 1)
     return best, cut
 
 
@@ -109,13 +112,13 @@ def best_splits(node, bins, stats, n, width, classes, allowed):
     for f in range(len(bins)):
         a, b, s = node, bins[f], stats
         if allowed is not None:
-            here = allowed[node, f]
-            a, b, s = a[here], b[here], s[:, here]
+            here = np.flatnonzero(allowed[:, f][node])
+            a, b, s = a.take(here), b.take(here), [c.take(here) for c in s]
             if not len(a):
                 continue
         way = _dense if n * width <= 2 * len(a) else _sparse
-        got, at = way(a, b, s, n, width, whole, classes)
-        better = got > top
+        got, at = way(a, b, s, n, width, whole, classes, top)
+        better = np.flatnonzero(got > top)
         top[better], feature[better], cut[better] = got[better], f, at[better]
     old = score(whole, classes)
     gain = np.where(np.isfinite(top), top - old, 0.0)
@@ -169,9 +172,14 @@ def grow(bins, y, w, test, width, classes, depth, subset, seeds):
         child = 2 * (np.cumsum(split) - 1)
         at, rows = at[~leaf], rows[~leaf]
         at = child[at] + (test[feature[at], rows] > cut[at])
-        go = split[node]
-        node, bins, stats = node[go], bins[:, go], stats[:, go]
-        node = child[node] + (bins[feature[node], np.arange(len(node))] > cut[node])
+        go = np.flatnonzero(split[node])
+        node = node[go]
+        node = child[node] + (bins[feature[node], go] > cut[node])
+        # Rows of a node side by side, in the order they had.
+        low = len(go).bit_length()
+        order = np.sort((node << low) | np.arange(len(go))) & ((1 << low) - 1)
+        node, go = node[order], go[order]
+        bins, stats = bins.take(go, axis=1), stats.take(go, axis=1)
         owner = np.repeat(owner[split], 2)
         with np.errstate(over="ignore"):
             twice = numbers[split] * np.uint64(2)
