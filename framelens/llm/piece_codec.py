@@ -17,8 +17,11 @@ An empty table gives no rows. Only models whose normaliser leaves text as it is
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import inf
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -28,8 +31,8 @@ from pyspark.sql import DataFrame
 from framelens.llm.common import text_or_empty
 from framelens.llm.memory import Memory
 
-WORDS_KEPT = 300_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 200_000
+PAIRS_KEPT = 500_000
 # SentencePiece's sign for a blank, its model types and its penalty below the least score.
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -98,39 +101,60 @@ class Codec:
         self.shown = [p.replace(BLANK, " ") for p in self.pieces]
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.add_word(piece, (len(piece), i, piece))
         self.automaton.make_automaton()
         across = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.cut = None if across else re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+").findall
         self.neighbours = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.words, self.parts = Memory(WORDS_KEPT), Memory(WORDS_KEPT)
+        self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.order = {p: -self.scores[i] for p, i in self.ids.items()}
+        self.history = lru_cache(WORDS_KEPT)(self._history)
         self.stays = lru_cache(PAIRS_KEPT)(self._stays_two)
 
-    def _merged(self, text: str) -> list[str]:
-        """Byte-pair merging of a short text: the best-scored neighbours first, the leftmost of equals."""
-        parts = list(text)
+    def _history(self, text: str) -> list[tuple[float, str, str]] | None:
+        """How byte-pair merging makes one piece of a short text: before each step, what the step ranks at, and
+        the first and last part. The best-scored neighbours go first, the leftmost of equals. None: it does not.
+        """
+        order, parts, steps = self.order.get, list(text), []
         while len(parts) > 1:
-            found = [
-                (-self.scores[i], k) for k in range(len(parts) - 1) if (i := self.ids.get(parts[k] + parts[k + 1])) is not None
-            ]
+            found = [(rank, k) for k, pair in enumerate(map(add, parts, parts[1:])) if (rank := order(pair)) is not None]
             if not found:
-                break
-            k = min(found)[1]
+                return None
+            rank, k = min(found)
+            steps.append((rank, parts[0], parts[-1]))
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        return [*steps, (inf, text, text)]
 
     def _stays_two(self, left: str, right: str) -> bool:
-        return self._merged(left + right) == [left, right]
+        """Whether merging both texts together never joins across their border: each then takes its own steps,
+        and the border's neighbours are at no time next in order."""
+        ours, theirs = self.history(left), self.history(right)
+        if ours is None or theirs is None:
+            return False
+        order, i, k = self.order.get, 0, 0
+        while True:
+            mine, _, end = ours[i]
+            other, start, _ = theirs[k]
+            across = order(end + start)
+            if across is not None and across < mine and across <= other:
+                return False
+            if mine <= other:
+                if mine == inf:
+                    return True
+                i += 1
+            else:
+                k += 1
 
     def segment(self, word: str) -> list[str]:
         """The pieces of a word, single characters for those that no piece covers."""
         size = len(word)
-        last = [0] * (size + 1)  # length of the last piece of the best segmentation up to there
         if self.kind == UNIGRAM:
+            last = [0] * (size + 1)  # length of the last piece of the best segmentation up to there
             best = [0.0] + [-1e30] * size
             ends: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-            for end, found in self.automaton.iter(word):
-                ends[end].append(found)
+            for end, (n, i, _) in self.automaton.iter(word):
+                ends[end].append((n, i))
             for end in range(size):
                 found = ends[end]
                 if not any(n == 1 for n, _ in found):
@@ -139,23 +163,32 @@ class Codec:
                     score = best[end + 1 - n] + (self.scores[i] if i >= 0 else self.least)
                     if score > best[end + 1]:
                         best[end + 1], last[end + 1] = score, n
-        else:
-            for end, (n, _) in self.automaton.iter(word):
-                start = end + 1 - n
-                if last[end + 1]:
-                    continue
-                piece, before = word[start : end + 1], last[start] or min(start, 1)
-                if (self.stays(word[start - before : start], piece) if start else self._merged(piece) == [piece]):
-                    last[end + 1] = n
+            out, at = [], size
+            while at:
+                n = last[at] or 1
+                out.append(word[at - n : at])
+                at -= n
+            return out[::-1]
+        # The last piece up to there; a character of its own where none ends.
+        ends_in, stays, history = ["", *word], self.stays, self.history
+        done = 0
+        for end, (n, _, piece) in self.automaton.iter(word):
+            if end < done:
+                continue
+            start = end + 1 - n
+            if stays(ends_in[start], piece) if start else history(piece) is not None:
+                ends_in[end + 1] = piece
+                done = end + 1
         out, at = [], size
         while at:
-            n = last[at] or 1
-            out.append(word[at - n : at])
-            at -= n
+            out.append(ends_in[at])
+            at -= len(ends_in[at])
         return out[::-1]
 
     def _apart(self, word: str) -> list[str]:
-        cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.neighbours]
+        if self.neighbours.issuperset(map(add, word, word[1:])):
+            return [word]
+        cuts = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in self.neighbours]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def _learn(self, words: set[str]) -> None:
@@ -167,14 +200,14 @@ class Codec:
         self.words.young.update({w: b"".join([known[p] for p in parts]) for w, parts in apart.items()})
 
     def _part(self, word: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.segment(word):
-            if (i := self.ids.get(piece)) is not None:
-                ids.append(i)
-            elif self.bytes:
-                ids += [self.bytes[b] for b in piece.encode("utf-8")]
-            else:
-                ids.append(self.unknown)
+        pieces = self.segment(word)
+        try:
+            return b"".join(map(self.coded.__getitem__, pieces))
+        except KeyError:
+            return b"".join([self.coded.get(piece) or self._unknown(piece) for piece in pieces])
+
+    def _unknown(self, piece: str) -> bytes:
+        ids = [self.bytes[b] for b in piece.encode("utf-8")] if self.bytes else [self.unknown]
         return np.array(ids, "<i4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -219,34 +252,49 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, text and ids of every text."""
+ENCODED = "doc_id long, text string, ids array<int>"
+
+
+def _encoded(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = [own.encode(t.as_py()) for t in batch["text"]]
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+    return pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], lists], ["doc_id", "text", "ids"])
+
 
+def _decoded(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+    lists = batch["ids"]
+    arrays = [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in lists]
+    texts = [own.decode(x) for x in arrays]
+    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in arrays]
+    return pa.RecordBatch.from_arrays(
+        [batch["doc_id"], batch["text"], lists, pa.array(texts, pa.string()), pa.array(crc, pa.int64())],
+        ["doc_id", "text", "ids", "decoded", "ids_crc32"],
+    )
+
+
+def _mapped(rows: DataFrame, model: str, schema: str, *steps) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for batch in batches:
-            ids = [own.encode(t.as_py()) for t in batch["text"]]
-            ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], lists], ["doc_id", "text", "ids"])
+            for step in steps:
+                batch = step(own, batch)
+            yield batch
+
+    return rows.mapInArrow(run, schema)
 
-    return docs.select("doc_id", text_or_empty()).mapInArrow(run, "doc_id long, text string, ids array<int>")
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, text and ids of every text."""
+    return _mapped(docs.select("doc_id", text_or_empty()), model, ENCODED, _encoded)
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """The rows with `decoded`, the text of their ids, and ids_crc32 over them."""
-    import zlib
+    return _mapped(encoded, model, f"{ENCODED}, decoded string, ids_crc32 long", _decoded)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
-        for batch in batches:
-            lists = batch["ids"]
-            arrays = [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in lists]
-            texts = [own.decode(x) for x in arrays]
-            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in arrays]
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text"], lists, pa.array(texts, pa.string()), pa.array(crc, pa.int64())],
-                ["doc_id", "text", "ids", "decoded", "ids_crc32"],
-            )
-
-    return encoded.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string, ids_crc32 long")
+
+def there_and_back(docs: DataFrame, model: str) -> DataFrame:
+    """`decode` of `encode`, by one worker: half as many workers hold the model and remember words."""
+    both = f"{ENCODED}, decoded string, ids_crc32 long"
+    return _mapped(docs.select("doc_id", text_or_empty()), model, both, _encoded, _decoded)

@@ -68,7 +68,7 @@ def op7_token_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = piece_codec.decode(piece_codec.encode(read(spark, sf_dir, "documents"), model), model)
+    coded = piece_codec.there_and_back(read(spark, sf_dir, "documents"), model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -332,6 +332,31 @@ def test_token_files(spark, odd, tmp_path, encoding):
     assert "ReadSchema: struct<doc_id:bigint>" in plan
 
 
+def test_pairs_are_judged_as_whole_merging_does():
+    """Each piece is merged once, however many pairs it is in; a pair is judged from the steps of both."""
+    import random
+
+    with open(PIECES, "rb") as f:
+        own = piece_codec.Codec(f.read())
+    runs = []
+    history = own._history
+    own.history = piece_codec.lru_cache(None)(lambda text: runs.append(text) or history(text))
+
+    def merged(text):
+        parts = list(text)
+        while found := [(-own.scores[own.ids[a + b]], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in own.ids]:
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    rng = random.Random(4)
+    pieces = rng.sample([p for p in own.ids if p.isascii() and p.isalpha()], 250) + ["\u03b1", "e", "s"]
+    pairs = [(rng.choice(pieces), rng.choice(pieces)) for _ in range(4000)]
+    got = [own._stays_two(a, b) for a, b in pairs]
+    assert got == [merged(a + b) == [a, b] for a, b in pairs]
+    assert 100 < sum(got) < 3900 and len(runs) == len(set(runs)) <= len(pieces)
+
+
 @pytest.mark.parametrize("kind", ["bpe", "unigram"])
 def test_pieces_equal_the_library(kind):
     import sentencepiece
@@ -359,6 +384,14 @@ def test_codec_tables(spark, odd, empty):
     assert not piece_codec.decode(piece_codec.encode(empty, PIECES), PIECES).collect()
 
 
+def test_codec_takes_one_worker_there_and_back(odd, empty):
+    both = piece_codec.there_and_back(odd, PIECES)
+    apart = piece_codec.decode(piece_codec.encode(odd, PIECES), PIECES)
+    assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert both.schema == apart.schema and not piece_codec.there_and_back(empty, PIECES).collect()
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_token_counts(spark, odd, empty):
     library = vocab.load(BYTES)
     for r in token_counts.token_counts(odd, BYTES).collect():
