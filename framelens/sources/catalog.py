@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framelens.session import listing
+
 IN_LAB = ("in_lab_data", "hashed_in_lab")
 REAL_WORLD = ("real_world_data", "hashed_real_world")
 PROFILE = ["th", "th_jitter", "lat", "lat_jitter", "loss"]
@@ -29,12 +31,9 @@ def capture_name(path) -> Column:
 
 def _list(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     """Paths below ``root`` one level deep; file contents are pruned from the scan."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*.{suffix}")
-        .load(f"{root}/*")
-        .select(plain_path().alias("path"))
-    )
+    with listing(spark):
+        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{suffix}").load(f"{root}/*")
+    files = found.select(plain_path().alias("path"))
     parts = F.split("path", "/")
     return files.select(
         "path",

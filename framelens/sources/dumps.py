@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framelens.functions import SECOND_US, idiv
+from framelens.session import listing
 from framelens.sources.catalog import capture_name, plain_path
 
 # The statistics a call must have, in order.
@@ -54,7 +55,8 @@ DUMP = (
 
 def read_dumps(spark: SparkSession, path: str) -> DataFrame:
     """(trace_id, body), one row per dump file; the id is the dump's own (see ``sources.linked``)."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    with listing(spark):
+        rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
     return rows.select(capture_name(plain_path()).alias("trace_id"), F.col("value").alias("body"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framelens.operators.chunks import assign_chunks
+from framelens.session import listing
 from framelens.sources.catalog import (
     IN_LAB,
     capture_app,
@@ -39,7 +40,8 @@ def read_raw(spark: SparkSession, path: str, headered: bool = True) -> DataFrame
     """Capture rows as strings, with ``path``. Files are split, so size does not matter."""
     reader = spark.read.schema(RAW).option("sep", "," if headered else "\t")
     reader = reader.option("header", headered).option("pathGlobFilter", "*.csv")
-    rows = reader.option("enforceSchema", True).csv(path)
+    with listing(spark):
+        rows = reader.option("enforceSchema", True).csv(path)
     return rows.select("*", plain_path().alias("path"))
 
 

@@ -128,3 +128,23 @@ def test_prediction_store_replaces_only_its_partitions(spark, tmp_path):
     assert tables.read_results(spark, str(tmp_path / "csv"), cols).count() == 2
     folds = spark.createDataFrame([("meet", 1), ("teams", 1), ("meet", 2)], "vca string, fold int")
     assert tables.call_logs(folds, 1).count() == 2 and tables.call_logs(folds, 1, "meet").count() == 1
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Spark starts a task a folder otherwise, and each trace has its own."""
+    for i in range(100):
+        folder = tmp_path / "in_lab_data" / f"0_meet_{i}"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("x")
+        (folder / "a.json").write_text("{}")
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    traces = catalog.trace_catalog(spark, [str(tmp_path / "in_lab_data")])
+    tracker = sc.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("listing")]
+    tasks = [tracker.getStageInfo(s).numTasks for job in jobs for s in job.stageIds]
+    sc.setJobGroup("", "")
+    assert len(tasks) >= 2 and max(tasks) <= 4 * sc.defaultParallelism
+    assert traces.count() == 100 and spark.conf.get(key) == before
